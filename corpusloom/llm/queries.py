@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def text_slices(batch, column: str = "text", most: int = 4_000_000):
+    """Cuts an Arrow batch into slices of about `most` bytes of text, one row at least."""
+    ends = np.cumsum([x or 0 for x in pc.binary_length(batch[column]).to_pylist()])
+    begin = 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right"))
+        end = max(begin + 1, end)
+        yield batch.slice(begin, end - begin)
+        begin = end
