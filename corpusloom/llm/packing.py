@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ END = struct.pack("<I", END_ID)
 #: Rows that are numbered together; a length with more rows is dealt over more buckets.
 ROWS_PER_BUCKET = 4096
 #: Word cache of a worker: entries, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,10 +40,16 @@ class WordIds(dict):
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
-                self.clear()
+                self.forget()
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drops the younger half: common words come early."""
+        kept = list(islice(self.items(), CACHE_WORDS // 2))
+        self.clear()
+        self.update(kept)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts, and where each text's ids begin and the last ones end.
 
