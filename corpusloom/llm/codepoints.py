@@ -39,3 +39,26 @@ def trigrams(points: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndar
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     owner = np.searchsorted(bounds, middle, side="right") - 1
     return owner, (h >> np.uint32(32 - bits)).astype(np.int64), np.bincount(owner, minlength=len(bounds) - 1)
+
+
+def mix(z: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def marks(points: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit mark of each character and its place in the word that begins at the start before it."""
+    begins = np.zeros(len(points), np.int64)
+    begins[start] = np.diff(np.concatenate([[0], start]))
+    place = (np.arange(len(points)) - np.cumsum(begins)).astype(np.uint64)
+    return mix(points.astype(np.uint64) + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_keys(points: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (a run without blanks) begins, and its 64-bit hash."""
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    return start, mix(np.add.reduceat(np.where(blank, np.uint64(0), marks(points, start)), start))

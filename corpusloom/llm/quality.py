@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.codepoints import SPACE, joined, letters, sums
+from corpusloom.llm.codepoints import SPACE, joined, letters, marks, sums
 from corpusloom.llm.language_id import held_out, sample_of
 from corpusloom.llm.shared import table, text_or_empty, text_slices
 
@@ -67,12 +67,7 @@ def measures(texts: list[str]) -> np.ndarray:
     w_size = (end - start).astype(np.float64)
     words = np.bincount(w_owner, minlength=n).astype(float)
     many = np.maximum(words, 1)
-    mixed = (c.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
-    begins = np.zeros(len(c), np.int64)
-    begins[start] = np.diff(np.concatenate([[0], start]))
-    place = np.arange(len(c)) - np.cumsum(begins)  # within its word, for characters of words
-    steps = (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    hashed = np.where(word, mixed * (steps | np.uint64(1)), np.uint64(0))
+    hashed = np.where(word, marks(c, start), np.uint64(0))
     w_key = np.add.reduceat(hashed, start) if len(start) else np.zeros(0, np.uint64)
     w_letters = np.add.reduceat(letter.astype(np.int64), start) if len(start) else np.zeros(0)
     w_symbols = np.add.reduceat(symbol.astype(np.int64), start) if len(start) else np.zeros(0)
