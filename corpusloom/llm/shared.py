@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,9 @@ def text_slices(batch, column: str = "text", most: int = 4_000_000):
         end = max(begin + 1, end)
         yield batch.slice(begin, end - begin)
         begin = end
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
