@@ -1,16 +1,8 @@
-"""The registry of named queries and the SQL that gives the same rows."""
+"""All named queries. Importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import q_aggregates, q_dedup, q_filters, q_joins, q_text  # noqa: F401
+from corpusloom.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+FLAGSHIP = QUERIES["build_reason_ladder"]
