@@ -122,7 +122,7 @@ def fence_languages(text: Column) -> Column:
 
 def last_fence(text: Column) -> Column:
     found = fences(text)
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1)))
 
 
 def only_fence(text: Column) -> Column:

@@ -114,12 +114,12 @@ def pack_blocks(rows: DataFrame, key: str, length: str, order: str, capacity: in
     Rows are dealt to groups by hash of the order column, about group_rows to each, so a group is
     bounded and groups are packed apart. Empty and longer examples are left out whole.
     """
-    fit = rows.where(F.col(length).between(1, capacity)).select(key, length, order)
+    fit = rows.where(F.col(length).between(1, capacity)).select(key, length, F.col(order).alias("__order"))
     groups = max(1, -(-fit.count() // group_rows))
-    dealt = fit.withColumn("pack_group", F.pmod(F.xxhash64(order), F.lit(groups)).cast("int"))
+    dealt = fit.withColumn("pack_group", F.pmod(F.xxhash64("__order"), F.lit(groups)).cast("int"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([order, key])
+        f = f.sort_values(["__order", key])
         spots = pack_lengths(f[length].tolist(), capacity)
         return pd.DataFrame({key: f[key], "pack_group": f["pack_group"], "block": [s[0] for s in spots], "segment": [s[1] for s in spots], "offset": [s[2] for s in spots]})
 

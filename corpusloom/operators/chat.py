@@ -84,7 +84,7 @@ def with_system(messages: Column, system: str) -> Column:
 
 def valid(messages: Column) -> Column:
     """Not empty, known roles, a user message, an assistant message last, and no blank text."""
-    last = F.element_at(messages, -1)
+    last = F.try_element_at(messages, F.lit(-1))
     ok = F.exists(messages, lambda m: m["role"] == "user") & (last["role"] == "assistant")
     known = F.forall(messages, lambda m: m["role"].isin("system", "user", "assistant", "tool") & (T.strip(m["content"]) != ""))
     return F.when(F.size(messages) > 0, F.coalesce(ok & known, F.lit(False))).otherwise(F.lit(False))
@@ -98,7 +98,7 @@ def has_reasoning(messages: Column) -> Column:
 def replay_score(messages: Column) -> Column:
     """0 to 15 for a chat worth replaying, null for one that is not."""
     n, own, bots = F.size(messages), F.array_join(of_role(messages, "user"), "\n"), F.filter(of_role(messages, "assistant"), lambda c: c != "")
-    last = F.element_at(bots, -1)
+    last = F.try_element_at(bots, F.lit(-1))
     fits = n.between(2, 8) & F.exists(messages, lambda m: m["role"] == "user") & (F.size(bots) > 0)
     fits = fits & F.forall(messages, lambda m: m["role"].isin("system", "user", "assistant", "tool"))
     fits = fits & ~T.contains_any(visible(messages), ["�", START, END])
@@ -120,7 +120,7 @@ def chat_reasons(messages: Column, oversized: int = 20_000) -> Column:
     users = F.transform(of_role(messages, "user"), T.strip)
     bots = F.transform(of_role(messages, "assistant"), T.strip)
     keys = F.transform(F.filter(users, lambda u: u != ""), lambda u: T.collapse(F.lower(u)))
-    last = F.when(F.size(users) > 0, F.element_at(users, -1))
+    last = F.when(F.size(users) > 0, F.try_element_at(users, F.lit(-1)))
     return all_reasons(
         ("missing_user_message", F.size(users) == 0),
         ("missing_assistant_message", F.size(bots) == 0),
@@ -152,7 +152,7 @@ def first_prompt(messages: Column) -> Column:
 
 def last_answer(messages: Column) -> Column:
     bots = of_role(messages, "assistant")
-    return F.when(F.size(bots) > 0, F.element_at(bots, -1))
+    return F.when(F.size(bots) > 0, F.try_element_at(bots, F.lit(-1)))
 
 
 def without_last_turn(messages: Column) -> Column:

@@ -72,16 +72,21 @@ def in_list(spark, sf):
 
 
 @query(
-    "components_customers",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_suppkey % 7 = 0),
+    "components_documents",
+    """WITH RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY n_chars) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY source, substr(text, 1, 12)) FROM documents),
 w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT a, a FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w.a = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node""",
 )
 def components(spark, sf):
     spark_dir(spark)
-    l = read(spark, sf, "lineitem").where("l_partkey % 40 = 0 and l_suppkey % 7 = 0")  # noqa: E741
-    return D.components(l.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct())
+    d = read(spark, sf, "documents").select("doc_id", "n_chars", "source", F.substring("text", 1, 12).alias("head"))
+    edges = None
+    for keys in (["n_chars"], ["source", "head"]):
+        least = d.groupBy(*keys).agg(F.min("doc_id").alias("b"))
+        found = d.join(least, keys).select(F.col("doc_id").alias("a"), "b")
+        edges = found if edges is None else edges.unionByName(found)
+    return D.components(edges)
 
 
 def spark_dir(spark) -> None:

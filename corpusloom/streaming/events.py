@@ -33,7 +33,7 @@ def sessions(rows: DataFrame, ts: str, gap: str, by: list[str]) -> DataFrame:
 
 def rolling_rate(rows: DataFrame, by: str, ts: str, value: str, seconds: int = 10, gap: int = 30) -> DataFrame:
     """Adds rate: value per second over the last `seconds`, begun anew after a gap."""
-    when = F.unix_micros(ts)
+    when = F.unix_micros(F.col(ts).cast("timestamp"))
     own = Window.partitionBy(by).orderBy(when)
     fresh = (when - F.lag(when).over(own) > gap * 1_000_000).cast("int")
     run = rows.withColumn("__t", when).withColumn("__run", F.sum(F.coalesce(fresh, F.lit(0))).over(own))
@@ -65,7 +65,7 @@ def progress(done: int, total: int, seconds: float) -> dict[str, float | None]:
 
 def token_timing(rows: DataFrame, request: str, ts: str, started: str) -> DataFrame:
     """Per request: milliseconds to the first token and between tokens; null where unmeasured."""
-    ms = lambda c: F.unix_millis(c)
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
     out = rows.groupBy(request).agg(F.min(ts).alias("a"), F.max(ts).alias("b"), F.count(ts).alias("n"), F.min(started).alias("s"))
     between: Column = F.when(F.col("n") > 1, (ms(F.col("b")) - ms(F.col("a"))) / (F.col("n") - 1))
     return out.select(request, (ms(F.col("a")) - ms(F.col("s"))).alias("first_ms"), between.alias("per_token_ms"), F.col("n").alias("n_tokens"))
