@@ -52,10 +52,11 @@ def drop_boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MI
     """Adds n_pages (of the host), n_lines, n_dropped and kept (the other lines, in order).
 
     `lines` is a stored table with host and lines (array of strings) besides any further columns.
-    Hosts with many pages meet their list in a join whose large partitions Spark splits.
+    The lists are stored too, so that the join with them is a plain one: Spark broadcasts them if
+    they are small, and splits the partitions of hosts with many pages if they are not.
     """
     none = F.array().cast("array<string>")
-    found = lines.join(boilerplate(lines, ratio, min_pages), "host", "left")
+    found = lines.join(stored(boilerplate(lines, ratio, min_pages), "boilerplate"), "host", "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("marks", none), F.md5(x)))
     return found.withColumn("kept", kept).withColumn("n_lines", F.size("lines")).withColumn("n_dropped", F.col("n_lines") - F.size("kept")).drop("marks")
 
