@@ -57,7 +57,7 @@ def append_once(spark, sf):
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
 
 
-@query("stream_token_timing", "SELECT user_id, CAST(epoch_ms(min(ts)) - epoch_ms(min(ts - INTERVAL '2 seconds')) AS BIGINT) AS first_ms, CASE WHEN count(*) > 1 THEN round((epoch_ms(max(ts)) - epoch_ms(min(ts))) / (count(*) - 1), 4) END AS per_token_ms, count(*) AS n_tokens FROM events GROUP BY user_id")
+@query("stream_token_timing", "SELECT user_id, (epoch_us(min(ts)) - epoch_us(min(ts - INTERVAL '2 seconds'))) / 1000 AS first_ms, CASE WHEN count(*) > 1 THEN round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000 / (count(*) - 1), 4) END AS per_token_ms, count(*) AS n_tokens FROM events GROUP BY user_id")
 def token_timing(spark, sf):
     e = read(spark, sf, "events").withColumn("started", F.col("ts") - F.expr("INTERVAL 2 SECONDS"))
     return E.token_timing(e, "user_id", "ts", "started").withColumn("per_token_ms", F.round("per_token_ms", 4))

@@ -65,7 +65,7 @@ def progress(done: int, total: int, seconds: float) -> dict[str, float | None]:
 
 def token_timing(rows: DataFrame, request: str, ts: str, started: str) -> DataFrame:
     """Per request: milliseconds to the first token and between tokens; null where unmeasured."""
-    ms = lambda c: F.unix_millis(c.cast("timestamp"))
-    out = rows.groupBy(request).agg(F.min(ts).alias("a"), F.max(ts).alias("b"), F.count(ts).alias("n"), F.min(started).alias("s"))
-    between: Column = F.when(F.col("n") > 1, (ms(F.col("b")) - ms(F.col("a"))) / (F.col("n") - 1))
-    return out.select(request, (ms(F.col("a")) - ms(F.col("s"))).alias("first_ms"), between.alias("per_token_ms"), F.col("n").alias("n_tokens"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    out = rows.groupBy(request).agg(F.min(us(ts)).alias("a"), F.max(us(ts)).alias("b"), F.count(ts).alias("n"), F.min(us(started)).alias("s"))
+    between: Column = F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / 1000 / (F.col("n") - 1))
+    return out.select(request, ((F.col("a") - F.col("s")) / 1000).alias("first_ms"), between.alias("per_token_ms"), F.col("n").alias("n_tokens"))
