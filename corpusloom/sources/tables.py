@@ -73,7 +73,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A line is numbered within its file by its place, so the file is read as one split.
     """
-    own = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    own = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
     each = own.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return each.select("file", (F.col("line") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim("value") != "")
 
