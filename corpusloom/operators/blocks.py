@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sampling import running_total
+
 #: The step time model, seconds = rows * (LINEAR * length + QUADRATIC * length**2).
 LINEAR, QUADRATIC = 1.0, 1.0 / 8192
 
@@ -152,10 +154,16 @@ def segment_positions(lengths: Column) -> Column:
 
 
 def batches(rows: DataFrame, bucket: str, order: str, size: int) -> DataFrame:
-    """Adds batch: the number of the batch within a bucket; larger buckets go first in batch_order."""
-    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1
-    out = rows.withColumn("batch", F.floor(rank / size).cast("int"))
-    return out.withColumn("batch_order", F.dense_rank().over(Window.orderBy(F.desc(bucket), "batch")))
+    """Adds batch: the number of the batch within a bucket, in the order of a hex key, and batch_order: larger buckets first.
+
+    Ranks come from running totals by slice, so no bucket is numbered in one task.
+    """
+    ranked = running_total(rows.withColumn("__one", F.lit(1)), [bucket], order, "__one", "__n").drop("__one")
+    out = ranked.withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")
+    counts = rows.groupBy(bucket).agg(F.ceil(F.count("*") / size).alias("__k"))  # a row for each bucket
+    before = F.coalesce(F.sum("__k").over(Window.orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(counts.select(bucket, before.alias("__b")))
+    return out.join(first, bucket).withColumn("batch_order", F.col("__b") + F.col("batch") + 1).drop("__b")
 
 
 def token_count(tokens: Column) -> Column:

@@ -9,6 +9,7 @@ from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "id long, family string, prompt string, answer string"
 
@@ -67,4 +68,4 @@ def check(family: str, prompt: str, answer: str) -> bool:
 def anchors(spark: SparkSession, pool: list[tuple[str, str]], times: int) -> DataFrame:
     """A pool of question and answer pairs, repeated."""
     rows = spark.createDataFrame(pool, "prompt string, answer string")
-    return rows.crossJoin(spark.range(times).withColumnRenamed("id", "round"))
+    return rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

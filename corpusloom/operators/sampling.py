@@ -132,10 +132,10 @@ def stride_order(n: int, step: int = 37) -> list[int]:
 
 
 def alternate(rows: DataFrame, by: str, order: str, first: list[str]) -> DataFrame:
-    """Adds turn: rows of the groups in turn, the k-th of each before any k+1-th."""
+    """Adds turn: rows of the groups in turn, the k-th of each (by a hex key) before any k+1-th."""
     place = F.array_position(F.array(*[F.lit(x) for x in first]), F.col(by))
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("turn", (n - 1) * len(first) + place)
+    ranked = running_total(rows.withColumn("__one", F.lit(1)), [by], order, "__one", "__n")
+    return ranked.withColumn("turn", (F.col("__n") - 1) * len(first) + place).drop("__one", "__n")
 
 
 def shuffled(rows: DataFrame, seed: int | str, *key: Column) -> DataFrame:

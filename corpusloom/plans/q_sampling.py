@@ -71,10 +71,10 @@ def greedy(spark, sf):
     return S.greedy_fill(o, "o_orderpriority", "o_orderkey", "p", "size", budgets).select("o_orderkey")
 
 
-@query("order_alternate", "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) * 2 + CASE lang WHEN 'en' THEN 1 ELSE 2 END AS turn FROM documents WHERE lang IN ('en', 'de')")
+@query("order_alternate", "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1) * 4 + CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS turn FROM documents")
 def alternate(spark, sf):
-    d = read(spark, sf, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", "lang")
-    return S.alternate(d, "lang", "doc_id", ["en", "de"]).select("doc_id", F.col("turn").cast("long").alias("turn"))
+    d = read(spark, sf, "documents").select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    return S.alternate(d, "lang", "h", ["en", "de", "fr", "es"]).select("doc_id", F.col("turn").cast("long").alias("turn"))
 
 
 @query("order_ranked", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 64")
@@ -116,10 +116,10 @@ def buckets(spark, sf):
     return B.bucketed(d, "length", 4, 128).groupBy("bucket").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
 
 
-@query("blocks_batches", "SELECT doc_id, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 8 AS INTEGER) AS batch FROM (SELECT doc_id, CASE WHEN n_chars <= 1000 THEN 1000 WHEN n_chars <= 4000 THEN 4000 ELSE 1000000 END AS bucket FROM documents)")
+@query("blocks_batches", "SELECT doc_id, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1) // 8 AS INTEGER) AS batch FROM (SELECT doc_id, CASE WHEN n_chars <= 1000 THEN 1000 WHEN n_chars <= 4000 THEN 4000 ELSE 1000000 END AS bucket FROM documents)")
 def batched(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") <= 1000, 1000).when(F.col("n_chars") <= 4000, 4000).otherwise(1000000).alias("bucket"))
-    return B.batches(d, "bucket", "doc_id", 8).select("doc_id", "bucket", "batch")
+    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") <= 1000, 1000).when(F.col("n_chars") <= 4000, 4000).otherwise(1000000).alias("bucket"), F.md5(F.col("doc_id").cast("string")).alias("h"))
+    return B.batches(d, "bucket", "h", 8).select("doc_id", "bucket", "batch")
 
 
 @query("blocks_compact", "SELECT doc_id, CAST(n_chars % 7 + 1 + n_chars % 5 + 1 AS BIGINT) AS n, n_chars % 7 + 1 AS one, n_chars % 5 + 1 AS two FROM documents")

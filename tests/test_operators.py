@@ -202,3 +202,16 @@ def test_mixing_audit(spark):
     assert plans.audit(df, {"t": F.col("t") == 10, "c": F.col("c") == "x"}) == {"t": 0, "c": 500}
     with pytest.raises(ValueError):
         plans.require(df, {"c": F.col("c") == "x"})
+
+
+def test_batches_and_turns(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, 10).otherwise(20).alias("b"), F.md5(F.col("id").cast("string")).alias("h"))
+    got = B.batches(df, "b", "h", 8).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.b, r.batch, r.batch_order), []).append(r.h)
+    keys = sorted(by, key=lambda k: k[2])
+    assert [k[2] for k in keys] == list(range(1, len(keys) + 1)) and [k[0] for k in keys] == [20] * 9 + [10] * 5
+    assert all(max(by[a]) < min(by[b]) for a, b in zip(keys, keys[1:], strict=False) if a[0] == b[0])
+    turns = sorted((r.turn, r.b) for r in S.alternate(df, "b", "h", [10, 20]).collect())
+    assert [b for _, b in turns[:68]] == [10, 20] * 34
