@@ -14,6 +14,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8**5)**32, 3 in a million.
 BANDS, ROWS = 32, 5
+#: Rows of a bucket that are compared at once.
+BLOCK = 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,23 +111,30 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return keys.view(np.int64)
 
 
+def _short(full: np.ndarray) -> np.ndarray:
+    """Ascending 64-bit hashes as distinct 32-bit ones."""
+    top = (full >> np.uint64(32)).astype(np.uint32)
+    return top[np.concatenate([[True], top[1:] != top[:-1]])] if len(top) else top
+
+
 def _signed(batches):
     for batch in batches:
         for part in text_slices(batch, most=2_000_000):
             sets = shingle_sets(part["text"].to_pylist())
-            keys = band_keys(dart_minhash(sets))
-            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, keys, strict=True)]
-            short = [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
+            sig = dart_minhash(sets)
+            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(sig), strict=True)]
+            short = [_short(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
-            flat = pa.array(np.concatenate(short) if short else np.zeros(0, np.int32), pa.int32())
-            cols = [part["uid"], part["id"], part["digest"], pa.array(some, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "digest", "keys", "shingles"])
+            flat = pa.array(np.concatenate(short).view(np.int32) if short else np.zeros(0, np.int32), pa.int32())
+            low = [row.tobytes() for row in (sig & np.uint64(255)).astype(np.uint8)]
+            cols = [part["uid"], part["id"], part["digest"], pa.array(some, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "digest", "keys", "shingles", "low"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, id, digest of the text, band keys and 32-bit shingle hashes of every row."""
+    """uid, id, digest of the text, band keys, 32-bit shingle hashes and 8-bit signature of every row."""
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("digest"), text_or_empty(text_col).alias("text"))
-    return own.mapInArrow(_signed, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
+    return own.mapInArrow(_signed, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>, low binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -156,31 +165,82 @@ def components(edges: DataFrame) -> DataFrame:
         now = then.select("node", "label")
 
 
-def links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _compare(similarity: float):
+    """Compares the asking rows of each group with its other rows of other components.
+
+    A pair is taken in the first band it shares only. Signatures tell which pairs can reach the
+    similarity (four deviations are allowed for); those are verified, the likeliest first, until a
+    row is linked to the other's component.
+    """
+    k = BANDS * ROWS
+    least = k * similarity - 4 * np.sqrt(k * similarity * (1 - similarity))
+
+    def links_of(rows):
+        ask = [r for r in rows if r[1]]
+        own, low, sets = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[5] for r in rows]
+        sizes = np.array([len(s) for s in sets])
+        for band, _, uid, comp, sig, mine in ask:
+            same = low == sig
+            alike = same.sum(axis=1)
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            fits = (own != comp) & (first == band) & (alike >= least) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
+            met = set()
+            for j in sorted(np.flatnonzero(fits), key=lambda j: -alike[j]):
+                if own[j] not in met:
+                    common = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if common >= similarity * (len(mine) + len(sets[j]) - common):
+                        met.add(own[j])
+                        yield max(uid, rows[j][2]), min(uid, rows[j][2])
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            out = []
+            columns = [batch[c].to_pylist() for c in ("key", "bx", "by", "band", "ask", "uid", "own")]
+            for n, (key, bx, by, band, ask, uid, own) in enumerate(zip(*columns, strict=True)):
+                if (key, bx, by) != group:
+                    out += links_of(rows)
+                    group, rows = (key, bx, by), []
+                sig = np.frombuffer(batch["low"][n].as_py(), np.uint8)
+                rows.append((band, ask, uid, own, sig, batch["shingles"][n].values.to_numpy(zero_copy_only=False).view(np.uint32)))
+            yield _pairs(out)
+        yield _pairs(list(links_of(rows)))
+
+    return run
+
+
+def _pairs(out: list) -> pa.RecordBatch:
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def links(signed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Verified pairs that join all rows that banding brings together, from stored signatures.
 
     Of rows of equal text one stands for all. In each bucket every row is first paired with the
     bucket's least row, so a bucket of m rows gives m - 1 pairs. Rows that this leaves outside their
-    bucket's component, the few that only another member resembles, are then compared with every
-    row of the bucket from another component. So no link between two components is missed, and the
-    rows of a component are not paired among themselves.
+    bucket's component, the few that only another member resembles, are then compared with the rows
+    of the bucket's other components, in blocks of bounded size, and only links come out. So no link
+    between two components is missed, and the rows of a component are not paired among themselves.
     """
     ones = signed.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid")
-    stand = stored(signed.join(ones, "uid", "left_semi").select("uid", F.explode("keys").alias("key")), "bands")
-    hubs = stand.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    stand = stored(signed.join(ones, "uid", "left_semi").select("uid", F.posexplode("keys").alias("band", "key")), "bands")
+    hubs = stand.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = stored(stand.join(hubs, "key"), "members")
     pairs = members.where("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
-    sets = signed.select("uid", "shingles")
-    first = stored(verified(pairs, sets, similarity), "links")
+    first = stored(verified(pairs, signed.select("uid", "shingles"), similarity), "links")
     label = components(first)
-    placed = members.join(label.select(F.col("node").alias("uid"), F.col("label").alias("own")), "uid", "left")
+    placed = members.where("n > 2").join(label.select(F.col("node").alias("uid"), F.col("label").alias("own")), "uid", "left")
     placed = placed.join(label.select(F.col("node").alias("hub"), F.col("label").alias("main")), "hub", "left")
-    placed = placed.select("key", "uid", F.coalesce("own", "uid").alias("own"), F.coalesce("main", "hub").alias("main"), "hub")
-    outside = stored(placed.where("own != main"), "outside")
-    rest = placed.where("uid != hub").join(outside.select("key").distinct(), "key", "left_semi")
-    one, two = outside.select("key", F.col("uid").alias("x"), F.col("own").alias("cx")), rest.select("key", F.col("uid").alias("y"), F.col("own").alias("cy"))
-    more = one.join(two, "key").where("x != y and cx != cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    second = verified(more, sets, similarity)
+    placed = stored(placed.select("key", "band", "n", "uid", F.coalesce("own", "uid").alias("own"), (F.coalesce("own", "uid") != F.coalesce("main", "hub")).alias("outside")), "placed")
+    asked = placed.where("outside").groupBy("key").agg(F.count("*").alias("m"))
+    near = placed.join(asked, "key").withColumns({"nx": F.ceil(F.col("m") / block).cast("int"), "ny": F.ceil(F.col("n") / block).cast("int")})
+    spot = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = near.where("outside").select("key", "band", "uid", "own", F.lit(True).alias("ask"), spot("nx").alias("bx"), every("ny").alias("by"))
+    others = near.select("key", "band", "uid", "own", F.lit(False).alias("ask"), every("nx").alias("bx"), spot("ny").alias("by"))
+    full = asking.unionByName(others).join(signed.select("uid", "low", "shingles"), "uid")
+    second = full.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(_compare(similarity), "a long, b long")
     return stored(first.unionByName(second), "links")
 
 

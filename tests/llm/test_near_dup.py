@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from corpusloom.llm import near_dup
 from corpusloom.llm.codepoints import mix
 
@@ -48,13 +49,21 @@ def corpus(seed=1):
         chain = list(chain)
         chain[rnd.randrange(150)] = word()
         texts.append(" ".join(chain))
+    base = [word() for _ in range(120)]
+    for _ in range(60):  # a crowd whose pairs lie on either side of the threshold
+        copy = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            copy[rnd.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
     texts += ["", None, " ", "one two", "one two", "One two", "a b c d", "x " * 3000, "x " * 3000, "x\n" * 2999]
     rnd.shuffle(texts)
     return [(i, t, "z", "z", "z", "z") for i, t in enumerate(texts)]
 
 
-def test_classes_are_the_components(spark):
-    rows = corpus()
+@pytest.mark.parametrize("seed, block", [(1, 4096), (2, 3)])
+def test_classes_are_the_components(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(near_dup.links, "__defaults__", (near_dup.SIMILARITY, block))
+    rows = corpus(seed)
     got = near_dup.classes(spark.createDataFrame(rows, DOCS)).collect()
     want = brute(rows)
     assert len(got) == len(rows)
