@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -22,15 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     if found.isDefined():
         return found.get().rstrip("/")
     where = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
     return where
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +60,15 @@ def text_slices(batch, column: str = "text", most: int = 4_000_000):
         begin = end
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes all tables that this process has stored; results that still read them are lost. Returns how many."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are stored."""
     gc.collect()
