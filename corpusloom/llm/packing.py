@@ -21,7 +21,8 @@ END_ID = 1
 END = struct.pack("<I", END_ID)
 #: Rows that are numbered together; a length with more rows is dealt over more buckets.
 ROWS_PER_BUCKET = 4096
-#: Word cache of a worker: entries, and the longest word kept.
+#: Word cache of a worker: entries, and the longest word kept. Texts bring rare words without end, and
+#: each costs a call of the tokenizer, so the cache is large and drops its younger half when it is full.
 CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
