@@ -89,6 +89,7 @@ def _local(window: int):
         same = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (span[1:] == span[:-1])])
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
         later = (doc != doc[head]) | (at != at[head])
+        anchor = np.where(later, mix(key.view(np.uint64) + at.astype(np.uint64)), anchor)  # settled rows go anywhere
         for rows, kind in ((np.flatnonzero(later), 0), (np.flatnonzero(~later), 1)):
             for begin in range(0, len(rows), 50_000):
                 k = rows[begin : begin + 50_000]
@@ -112,46 +113,60 @@ def _local(window: int):
     return run
 
 
-def _settle(batches):
-    """Of rows sorted by anchor, span, id and place: later equal spans (kind 0) and the firsts of
-    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS)."""
-    out, held, many, last, first = [], [], False, None, None
+COLUMNS = ("anchor", "span", "key", "id", "at", "n")
 
-    def done():
-        nonlocal held, many
-        rows = [(1, *r) for r in held] if len(held) > 1 and not many else []
-        held, many = [], False
-        return rows
 
-    def batch_of(rows):
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "anchor", "span", "key", "id", "at", "n"])
+def _found(rows: dict[str, np.ndarray], kind: np.ndarray | int) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int32), len(rows["key"]))
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(rows[c]) for c in COLUMNS)], names=["kind", *COLUMNS])
 
+
+def _settle(batches):
+    """Of rows sorted by anchor, span, id and place: later equal spans (kind 0) and the firsts of
+    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS)."""
+    held = {c: np.zeros(0, np.int32 if c in ("at", "n") else np.int64) for c in COLUMNS}  # firsts of the anchor that may go on
+    head = None  # the first of the last span
+    crowded = None  # an anchor known to have many spans
     for batch in batches:
-        for kind, *row in zip(*(batch[c].to_pylist() for c in ("kind", "anchor", "span", "key", "id", "at", "n")), strict=True):
-            anchor, span, key, doc, at, n = row
-            if kind == 0:
-                out.append((0, *row))
-            elif last == (anchor, span):
-                if (doc, at) != first:
-                    out.append((0, *row))
-            else:
-                if last is None or last[0] != anchor:
-                    out += done()
-                last, first = (anchor, span), (doc, at)
-                if many:
-                    out.append((2, *row))
-                else:
-                    held.append(row)
-                    if len(held) > MOST_SPANS:
-                        out += [(2, *r) for r in held]
-                        held, many = [], True
-        if len(out) > 20_000:
-            yield batch_of(out)
-            out = []
-    out += done()
-    if out:
-        yield batch_of(out)
+        rows = {c: batch[c].to_numpy() for c in COLUMNS}
+        live = batch["kind"].to_numpy() == 1
+        if not live.all():
+            yield _found({c: v[~live] for c, v in rows.items()}, 0)
+            rows = {c: v[live] for c, v in rows.items()}
+        if not len(rows["key"]):
+            continue
+        fresh = np.concatenate([[head is None or (rows["anchor"][0], rows["span"][0]) != head[:2]], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["span"][1:] != rows["span"][:-1])])
+        place = np.cumsum(fresh) - 1
+        firsts = np.flatnonzero(fresh)
+        of = np.where(place >= 0, firsts[np.maximum(place, 0)] if len(firsts) else 0, 0)
+        first_id, first_at = rows["id"][of], rows["at"][of]
+        if head is not None:
+            first_id, first_at = np.where(place < 0, head[2], first_id), np.where(place < 0, head[3], first_at)
+        later = ~fresh & ((rows["id"] != first_id) | (rows["at"] != first_at))
+        if later.any():
+            yield _found({c: v[later] for c, v in rows.items()}, 0)
+        if len(firsts):
+            k = firsts[-1]
+            head = (rows["anchor"][k], rows["span"][k], rows["id"][k], rows["at"][k])
+        new = {c: np.concatenate([held[c], v[firsts]]) for c, v in rows.items()}
+        if not len(new["key"]):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], new["anchor"][1:] != new["anchor"][:-1]]))
+        counts = np.diff(np.concatenate([begins, [len(new["key"])]]))
+        kind = np.where(counts > MOST_SPANS, 2, np.where(counts > 1, 1, 0))
+        kind = np.where(new["anchor"][begins] == crowded, 2, kind) if crowded is not None else kind
+        end = int(begins[-1])
+        if kind[-1] == 2:  # known to be many: nothing of it need be held
+            crowded, end = new["anchor"][-1], len(new["key"])
+        else:
+            kind[-1] = 0
+        each = np.repeat(kind, counts)
+        out = np.flatnonzero((each > 0) & (np.arange(len(each)) < end))
+        if len(out):
+            yield _found({c: v[out] for c, v in new.items()}, each[out])
+        held = {c: v[end:] for c, v in new.items()}
+    if len(held["key"]) > 1:
+        yield _found(held, 1)
 
 
 def _parts(window: int):
@@ -162,27 +177,32 @@ def _parts(window: int):
             for part in text_slices(batch, most=2_000_000):
                 words = Words(part["text"].to_pylist())
                 short = (words.keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                out: list[tuple] = []
-                for k, (key, doc, spans) in enumerate(zip(part["key"].to_pylist(), part["id"].to_pylist(), part["spans"].to_pylist(), strict=True)):
-                    base, wide = words.at[k], []
-                    for s in spans:
-                        if s["kind"] == 2:
-                            wide += range(s["at"], s["at"] + s["n"])
-                        else:
-                            a = base + s["at"]
-                            out.append((False, s["anchor"], key, doc, s["at"], s["n"], short[a : a + s["n"] + window - 1].tolist()))
-                    if wide:
-                        at = np.array(wide)
-                        own = words.segments(at + base, np.full(len(at), window)).view(np.int64).tolist()
-                        out += [(True, h, key, doc, a, 1, None) for h, a in zip(own, wide, strict=True)]
-                for begin in range(0, len(out), 20_000):
-                    cols = list(zip(*out[begin : begin + 20_000], strict=True))
-                    types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["big", "anchor", "key", "id", "at", "n", "words"])
+                spans, sizes = part["spans"].flatten(), part["spans"].value_lengths().to_numpy()
+                kind, anchor, at, n = (spans.field(c).to_numpy() for c in ("kind", "anchor", "at", "n"))
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                keys, ids = part["key"].to_numpy()[doc], part["id"].to_numpy()[doc]
+                base = words.at[doc].astype(np.int64)
+                few, many = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+                long = n[few].astype(np.int64) + window - 1
+                ends = np.concatenate([[0], np.cumsum(long)])
+                flat = np.repeat(base[few] + at[few] - ends[:-1], long) + np.arange(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short[flat]))
+                yield _part(False, anchor[few], keys[few], ids[few], at[few], n[few], lists)
+                if len(many):
+                    times = n[many].astype(np.int64)
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    wide, where = np.repeat(many, times), np.repeat(at[many], times) + step
+                    own = words.segments(base[wide] + where, np.full(len(wide), window)).view(np.int64)
+                    yield _part(True, own, keys[wide], ids[wide], where.astype(np.int32), np.ones(len(wide), np.int32), pa.nulls(len(wide), pa.list_(pa.int32())))
 
     return run
 
 
+def _part(big: bool, anchor, key, doc, at, n, words) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(key), big)), *(pa.array(c) for c in (anchor, key, doc, at, n)), words]
+    return pa.RecordBatch.from_arrays(cols, names=["big", "anchor", "key", "id", "at", "n", "words"])
+
+
 def _stream(window: int):
     """Streams the spans of each anchor, sorted by id and place, through the automaton of those before."""
 

@@ -72,3 +72,36 @@ def test_automaton_matches_brute_force():
         want = [max(n for n in range(k + 2) if tuple(query[k + 1 - n : k + 1]) in factors) for k in range(40)]
         assert known.matching(query) == want
         assert len(known) <= 2 * sum(map(len, texts)) + 1
+
+
+def test_settling_does_not_depend_on_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    rows = sorted((rnd.choice([1, 1, 1, 2, 3, 4, 5, 6]), rnd.randint(0, 9), rnd.randint(0, 30), rnd.randint(0, 3)) for _ in range(400))
+    rows = [(rnd.choice([0, 1, 1, 1]), a, s, d, d, p, 1) for a, s, d, p in rows]
+    monkeypatch.setattr(substring_dedup, "MOST_SPANS", 6)
+
+    def batches(size):
+        for k in range(0, len(rows), size):
+            cols = list(zip(*rows[k : k + size], strict=True))
+            types = [np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(cols, types, strict=True)], names=["kind", *substring_dedup.COLUMNS])
+
+    def run(size):
+        return sorted(tuple(r.values()) for b in substring_dedup._settle(batches(size)) for r in b.to_pylist())
+
+    want, first, spans = [], {}, {}
+    for kind, a, s, d, i, p, n in rows:
+        if kind == 0:
+            want.append((0, a, s, d, i, p, n))
+        elif (a, s) not in first:
+            first[a, s] = (i, p)
+            spans.setdefault(a, []).append((a, s, d, i, p, n))
+        elif first[a, s] != (i, p):
+            want.append((0, a, s, d, i, p, n))
+    for group in spans.values():
+        want += [(2 if len(group) > 6 else 1, *r) for r in group if len(group) > 1]
+    for size in (1, 2, 3, 7, 50, 1000):
+        assert run(size) == sorted(want), size
