@@ -15,7 +15,7 @@ from corpusloom.llm.shared import table, text_or_empty, text_slices
 
 BITS = 13
 #: The documented bound of the training sample: about this many labelled rows of each language.
-TRAIN_ROWS = 400
+TRAIN_ROWS = 300
 UNKNOWN = "und"
 #: Families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -45,14 +45,14 @@ class Model:
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 25, seed: int = 7) -> np.ndarray:
     """Weights of the L2-regularised hinge loss, by dual coordinate descent; the last is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+    w, alpha, norm = np.zeros(x.shape[1], x.dtype), np.zeros(len(x)), np.einsum("ij,ij->i", x, x, dtype=np.float64)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
             new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0), cost)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += x.dtype.type((new - alpha[i]) * y[i]) * x[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -70,8 +70,9 @@ def fit(counts: np.ndarray, langs: list[str]) -> Model:
         return model
     scale = (1 / np.sqrt(counts.mean(axis=0) + 1e-6)).astype(np.float32)
     x = counts * scale
-    x /= max(1e-9, np.sqrt((x * x).sum(axis=1).mean()))
-    scale = scale * (x.sum() / max(1e-9, (counts * scale).sum()))
+    size = np.float32(max(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x).mean())))
+    x /= size
+    scale /= size
     family = np.array([FAMILIES.get(n, n) for n in langs])
     names = np.array(langs)
     jobs = [(family, a, b) for a, b in combinations(sorted(model.families), 2)]
@@ -79,7 +80,7 @@ def fit(counts: np.ndarray, langs: list[str]) -> Model:
     columns = []
     for labels, a, b in jobs:
         rows = np.flatnonzero((labels == a) | (labels == b))
-        columns.append(linear_svm(x[rows].astype(np.float64), np.where(labels[rows] == a, 1.0, -1.0), cost=10.0))
+        columns.append(linear_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0), cost=10.0))
         model.pairs.append((a, b))
     if columns:
         w = np.array(columns).T
