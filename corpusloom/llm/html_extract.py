@@ -30,11 +30,13 @@ ASIDE = frozenset("nav aside footer header form button select input label fields
 ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 #: Words of class and id that name such parts.
 ASIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adbox|adslot|banner|breadcrumbs?|byline|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adbox|adslot|adsbygoogle|banner|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|announcement|"
     r"footer|header|masthead|nav|navbar|navigation|menu|topbar|toolbar|sidebar|side|widget|related|recommended|share|sharing|social|promo\w*|sponsor\w*|"
     r"subscribe|subscription|newsletter|popup|modal|overlay|login|signup|pager|pagination|skip|hidden|sr-only)(?:$|[\s_-])",
     re.I,
 )
+READER = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|adverts?|advertisement|sponsored|promo)(?:$|[\s_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CLOSES = {  # an opening tag ends an open element of these, up to the given fence
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -48,7 +50,7 @@ CLOSES = {  # an opening tag ends an open element of these, up to the given fenc
 P_FENCE = frozenset("td th caption button object body html".split())
 ENDS_P = BLOCK - {"br", "option", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head"}
 PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 figcaption".split())
-CONTAINER = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0, "body": 0.0, "html": -50.0}
+CONTAINER = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0, "body": 0.0, "html": -1.0}
 
 
 class Node:
@@ -121,12 +123,13 @@ def aside(node: Node) -> bool:
     """Menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts."""
     if node.tag in ASIDE:
         return True
-    if len(node.attrs) < 4 or node.tag in ("body", "html", "article", "main"):
+    if len(node.attrs) < 4 or node.tag in ("body", "html"):
         return False
+    named = READER if node.tag in ("article", "main") else ASIDE_WORD
     for name, *values in ATTR.findall(node.attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            if ASIDE_WORD.search(value):
+            if named.search(CAMEL.sub("-", value)):
                 return True
         elif name == "role":
             if value.lower() in ASIDE_ROLES:
@@ -214,10 +217,10 @@ def container(best: Node) -> Node:
     return found
 
 
-def kept_nodes(best: Node) -> list[Node]:
+def kept_nodes(best: Node) -> list:
     """The best container and the siblings that read like more of it, in page order."""
-    if best.parent is None:
-        return [best]
+    if best.tag in ("html", "body"):  # no container: all but blocks of links
+        return [c for c in best.children if isinstance(c, str) or c.tag not in BLOCK or density(c) <= 0.8]
     least = max(10.0, 0.2 * best.score)
     out = []
     for c in best.parent.children:
@@ -225,7 +228,11 @@ def kept_nodes(best: Node) -> list[Node]:
             out.append(c)
         elif not isinstance(c, str):
             loose = c.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(c) < 0.25 and c.text > 0
-            if c.score >= least or c.tag == best.tag == "article" or loose and best.tag != "article":
+            if c.tag == best.tag == "article":  # both have the bonus of their tag
+                near = c.score - CONTAINER["article"] >= max(10.0, 0.2 * (best.score - CONTAINER["article"]))
+            else:
+                near = c.score >= least or loose and best.tag != "article"
+            if near:
                 out.append(c)
     return out
 

@@ -78,3 +78,13 @@ def test_line_dedup_of_texts(spark):
     got = line_dedup.dedup_texts(docs, "source")
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [*((i, f"own {i}") for i in range(4)), (9, "")]
+
+
+def test_parts_that_are_no_article():
+    page = (
+        "<body><div class='siteHeader'>head</div><div id='cookieNotice'>cookies, cookies, cookies</div><article><h1>T</h1><p>{0}</p><div class='byline'>By A.</div><section><p>{0}</p></section></article>"
+        "<article class='comment'><p>{0}</p></article><article><p>teaser</p></article><div class='alert'>x</div><footer>f</footer></body>"
+    )
+    assert html_extract.extract(page.format(LONG)) == f"T {LONG} By A. {LONG}"
+    parts = [f"<article>{f'<p>{LONG}</p>' * n}</article>" for n in (6, 10)]
+    assert html_extract.extract("".join(parts)) == " ".join([LONG] * 16)
