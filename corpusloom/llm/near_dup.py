@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Rows of a bucket that are compared at once.
 BLOCK = 4096
+#: Leading bits of a shingle's hash that name its cell.
+CELL_BITS = 8
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,20 +123,18 @@ def _signed(batches):
     for batch in batches:
         for part in text_slices(batch, most=1_000_000):
             sets = shingle_sets(part["text"].to_pylist())
-            sig = dart_minhash(sets)
-            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(sig), strict=True)]
+            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(dart_minhash(sets)), strict=True)]
             short = [_short(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
             flat = pa.array(np.concatenate(short).view(np.int32) if short else np.zeros(0, np.int32), pa.int32())
-            low = [row.tobytes() for row in (sig & np.uint64(255)).astype(np.uint8)]
-            cols = [part["uid"], part["id"], part["digest"], pa.array(some, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "digest", "keys", "shingles", "low"])
+            cols = [part["uid"], part["id"], part["digest"], pa.array(some, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "digest", "keys", "shingles"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, id, digest of the text, band keys, 32-bit shingle hashes and 8-bit signature of every row."""
+    """uid, id, digest of the text, band keys and 32-bit shingle hashes of every row."""
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("digest"), text_or_empty(text_col).alias("text"))
-    return own.mapInArrow(_signed, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>, low binary")
+    return own.mapInArrow(_signed, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -168,24 +168,28 @@ def components(edges: DataFrame) -> DataFrame:
 def _compare(similarity: float):
     """Compares the asking rows of each group with its other rows of other components.
 
-    A pair is taken in the first band it shares only. Signatures tell which pairs can reach the
-    similarity (four deviations are allowed for); those are verified, the likeliest first, until a
+    A pair is taken in the first band only whose key it shares; there one of the two is outside, and
+    asks. The least numbers of shingles in each cell of the hash space bound what two rows have in
+    common; pairs that can reach the similarity by this are verified, the likeliest first, until a
     row is linked to the other's component.
     """
-    k = BANDS * ROWS
-    least = k * similarity - 4 * np.sqrt(k * similarity * (1 - similarity))
 
     def links_of(rows):
-        ask = [r for r in rows if r[1]]
-        own, low, sets = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[5] for r in rows]
+        ask = [n for n, r in enumerate(rows) if r[1]]
+        if not ask:
+            return
+        own, keys, sets = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[5] for r in rows]
         sizes = np.array([len(s) for s in sets])
-        for band, _, uid, comp, sig, mine in ask:
-            same = low == sig
-            alike = same.sum(axis=1)
-            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            fits = (own != comp) & (first == band) & (alike >= least) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
+        cells = np.array([np.bincount(s >> np.uint32(32 - CELL_BITS), minlength=1 << CELL_BITS) for s in sets], np.int32)
+        for n in ask:
+            band, _, uid, comp, _, mine = rows[n]
+            first = (keys == keys[n]).argmax(axis=1)
+            near = np.flatnonzero((own != comp) & (first == band) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine))))
+            most = np.minimum(cells[near], cells[n]).sum(axis=1)
+            alike = most / (sizes[near] + len(mine) - most)
+            fits = most >= similarity * (sizes[near] + len(mine) - most)
             met = set()
-            for j in sorted(np.flatnonzero(fits), key=lambda j: -alike[j]):
+            for j in near[fits][np.argsort(-alike[fits], kind="stable")]:
                 if own[j] not in met:
                     common = len(np.intersect1d(mine, sets[j], assume_unique=True))
                     if common >= similarity * (len(mine) + len(sets[j]) - common):
@@ -201,8 +205,8 @@ def _compare(similarity: float):
                 if (key, bx, by) != group:
                     out += links_of(rows)
                     group, rows = (key, bx, by), []
-                sig = np.frombuffer(batch["low"][n].as_py(), np.uint8)
-                rows.append((band, ask, uid, own, sig, batch["shingles"][n].values.to_numpy(zero_copy_only=False).view(np.uint32)))
+                keys = batch["keys"][n].values.to_numpy(zero_copy_only=False)
+                rows.append((band, ask, uid, own, keys, batch["shingles"][n].values.to_numpy(zero_copy_only=False).view(np.uint32)))
             yield _pairs(out)
         yield _pairs(list(links_of(rows)))
 
@@ -239,7 +243,7 @@ def links(signed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = near.where("outside").select("key", "band", "uid", "own", F.lit(True).alias("ask"), spot("nx").alias("bx"), every("ny").alias("by"))
     others = near.select("key", "band", "uid", "own", F.lit(False).alias("ask"), every("nx").alias("bx"), spot("ny").alias("by"))
-    full = asking.unionByName(others).join(signed.select("uid", "low", "shingles"), "uid")
+    full = asking.unionByName(others).join(signed.select("uid", "keys", "shingles"), "uid")
     second = full.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(_compare(similarity), "a long, b long")
     return stored(first.unionByName(second), "links")
 

@@ -94,3 +94,20 @@ def test_signatures_estimate_weighted_similarity():
     sig = near_dup.dart_minhash(sets, k=160)
     assert (sig != 0).all() and len(set(sig[0].tolist())) == 160
     assert abs((near_dup.dart_minhash([sets[2], sets[2][:25]], k=4000)[0] == near_dup.dart_minhash([sets[2][:25]], k=4000)[0]).mean() - 25 / 49) < 0.03
+
+
+@pytest.mark.parametrize("alike", ["an earlier band", "no other band"])
+def test_links_do_not_rest_on_short_signatures(spark, alike):
+    """Rows 1 and 2 share the bucket of one unlike row only; the 8 low bits of their signatures mislead."""
+    keys = [[100 * uid + band for band in range(near_dup.BANDS)] for uid in range(3)]
+    for k in keys:
+        k[3] = 7
+    low = [bytearray([uid] * 160) for uid in range(3)]
+    for row in low:
+        row[15:20] = bytes(5)
+    if alike == "an earlier band":
+        low[2] = low[1]
+    shingles = [list(range(9000, 9050)), list(range(1, 51)), list(range(3, 53))]
+    rows = [(uid, uid, bytearray([uid]), keys[uid], shingles[uid], low[uid]) for uid in range(3)]
+    signed = spark.createDataFrame(rows, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>, low binary")
+    assert {(r.a, r.b) for r in near_dup.links(signed).collect()} == {(2, 1)}
