@@ -36,6 +36,8 @@ ASIDE_WORD = re.compile(
     re.I,
 )
 READER = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|adverts?|advertisement|sponsored|promo)(?:$|[\s_-])", re.I)
+#: Words that make the rest of a name a description, and ends that make a state of it: has-sidebar, comments-open.
+DESCRIBES = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without|overflow(?:[_-][xy])?|backface)[_-].*|.*[_-](?:open|closed|enabled|disabled)$|^hidden[_-].*", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CLOSES = {  # an opening tag ends an open element of these, up to the given fence
@@ -54,12 +56,13 @@ CONTAINER = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "text", "linked", "own")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "text", "linked", "own", "named", "mains", "articles", "prose")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
         self.score = self.text = self.linked = self.own = 0
+        self.named = self.mains = self.articles = self.prose = 0
 
 
 def parse(html: str) -> Node:
@@ -120,18 +123,14 @@ def parse(html: str) -> Node:
 
 
 def aside(node: Node) -> bool:
-    """Menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts."""
+    """Menus, headers, footers, forms and hidden parts, by tag, role, or attribute."""
     if node.tag in ASIDE:
         return True
     if len(node.attrs) < 4 or node.tag in ("body", "html"):
         return False
-    named = READER if node.tag in ("article", "main") else ASIDE_WORD
     for name, *values in ATTR.findall(node.attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id"):
-            if named.search(CAMEL.sub("-", value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value.lower() in ASIDE_ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -141,14 +140,62 @@ def aside(node: Node) -> bool:
     return False
 
 
-def prune(root: Node) -> list[Node]:
-    """Drops asides; the nodes that stay, parents before children."""
+def named(node: Node, words: re.Pattern) -> int:
+    """2 if a class or the id is one of the words, 1 if one has such a part, or else 0."""
+    found = 0
+    if len(node.attrs) >= 4 and node.tag not in ("body", "html"):
+        for name, *values in ATTR.findall(node.attrs):
+            if name.lower() in ("class", "id"):
+                for token in next((v for v in values if v), "").split():
+                    token = DESCRIBES.sub("", CAMEL.sub("-", token))
+                    if m := words.search(token):
+                        found = max(found, 2 if m[0] == token else 1)
+    return found
+
+
+def prune(root: Node, by_name: bool = True) -> list[Node]:
+    """Drops asides, and by class and id menus, sidebars, notices, adverts and comments; the nodes
+    that stay, parents before children.
+
+    What only part of a name tells apart stays if it holds a main element or most of the page's text
+    out of links and comments; what a whole name does, if that text has a main element in it or all
+    articles.
+    """
     kept, stack = [], [root]
     while stack:
         node = stack.pop()
         kept.append(node)
         node.children = [c for c in node.children if isinstance(c, str) or not aside(c)]
         stack.extend(c for c in node.children if not isinstance(c, str))
+    if not by_name:
+        return kept
+    for node in reversed(kept):
+        own = node.tag in ("article", "main")
+        node.named = named(node, READER if own else ASIDE_WORD)
+        for c in node.children:
+            if isinstance(c, str):
+                node.prose += len(c.strip())
+            else:
+                node.prose, node.mains, node.articles = node.prose + c.prose, node.mains + c.mains, node.articles + c.articles
+        if own and not node.named:
+            node.mains, node.articles = node.mains + (node.tag == "main"), node.articles + 1
+        if node.tag == "a" or node.named and not node.articles and named(node, READER):
+            node.prose = 0
+    if not any(node.named for node in kept):
+        return kept
+
+    def stays(node: Node) -> bool:
+        if node.named == 0:
+            return True
+        most = 2 * node.prose > root.prose
+        return most or node.mains > 0 if node.named == 1 else most and (node.mains > 0 or 0 < node.articles == root.articles)
+
+    kept, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        kept.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or stays(c)]
+        stack.extend(c for c in node.children if not isinstance(c, str))
     return kept
 
 
@@ -254,10 +301,14 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(html: str) -> str:
-    """The main text of a page, empty if it has none."""
-    nodes = prune(parse(html))
-    measure(nodes)
-    return text_of(kept_nodes(container(score(nodes))))
+    """The main text of a page, empty if it has none. Names do not empty a page."""
+    for by_name in (True, False):
+        nodes = prune(parse(html), by_name)
+        measure(nodes)
+        text = text_of(kept_nodes(container(score(nodes))))
+        if text:
+            break
+    return text
 
 
 def _extract_batches(batches):

@@ -88,3 +88,18 @@ def test_parts_that_are_no_article():
     assert html_extract.extract(page.format(LONG)) == f"T {LONG} By A. {LONG}"
     parts = [f"<article>{f'<p>{LONG}</p>' * n}</article>" for n in (6, 10)]
     assert html_extract.extract("".join(parts)) == " ".join([LONG] * 16)
+
+
+@pytest.mark.parametrize("attrs", ["class='content has-sidebar'", "class='overflow-hidden'", "id='page-with-nav'", "class='no-comments'", "class='post-header-side'", "class='hidden-print x'", "class='sidebar'", "id=comments"])
+def test_names_do_not_drop_what_holds_the_article(attrs):
+    inner = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div class='ad'>buy</div></article><div class='comments'>{f'<p>{LONG}</p>' * 9}</div>"
+    assert html_extract.extract(f"<body><p>By</p><div {attrs}>{inner}</div><div class='siteFooter'><p>f</p></div>") == f"T {LONG} {LONG}"
+    assert html_extract.extract(f"<body><div {attrs}><p>{LONG}</p></div>") == LONG
+
+
+def test_names_still_drop_what_they_name():
+    teasers = f"<div class='related'><article><p>{LONG} {LONG} {LONG}</p></article></div>"
+    thread = f"<div id='comments'><article class='comment-body'><p>{LONG} {LONG} {LONG}</p></article></div>"
+    legal = f"<div class='footer'><p>{LONG} {LONG} {LONG} {LONG}</p></div>"
+    for more in (teasers, thread, legal):
+        assert html_extract.extract(f"<body><article class='post comments-open'><p>{LONG}</p></article>{more}") == LONG
