@@ -123,7 +123,8 @@ def _found(rows: dict[str, np.ndarray], kind: np.ndarray | int) -> pa.RecordBatc
 
 def _settle(batches):
     """Of rows sorted by anchor, span, id and place: later equal spans (kind 0) and the firsts of
-    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS)."""
+    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS). Spans of other
+    documents at the id and place of the first are firsts too."""
     held = {c: np.zeros(0, np.int32 if c in ("at", "n") else np.int64) for c in COLUMNS}  # firsts of the anchor that may go on
     head = None  # the first of the last span
     crowded = None  # an anchor known to have many spans
@@ -139,16 +140,17 @@ def _settle(batches):
         place = np.cumsum(fresh) - 1
         firsts = np.flatnonzero(fresh)
         of = np.where(place >= 0, firsts[np.maximum(place, 0)] if len(firsts) else 0, 0)
-        first_id, first_at = rows["id"][of], rows["at"][of]
+        first_id, first_at, first_key = rows["id"][of], rows["at"][of], rows["key"][of]
         if head is not None:
-            first_id, first_at = np.where(place < 0, head[2], first_id), np.where(place < 0, head[3], first_at)
+            first_id, first_at, first_key = (np.where(place < 0, x, own) for x, own in zip(head[2:], (first_id, first_at, first_key), strict=True))
         later = ~fresh & ((rows["id"] != first_id) | (rows["at"] != first_at))
         if later.any():
             yield _found({c: v[later] for c, v in rows.items()}, 0)
         if len(firsts):
             k = firsts[-1]
-            head = (rows["anchor"][k], rows["span"][k], rows["id"][k], rows["at"][k])
-        new = {c: np.concatenate([held[c], v[firsts]]) for c, v in rows.items()}
+            head = (rows["anchor"][k], rows["span"][k], rows["id"][k], rows["at"][k], rows["key"][k])
+        on = fresh | ~later & (rows["key"] != first_key)
+        new = {c: np.concatenate([held[c], v[on]]) for c, v in rows.items()}
         if not len(new["key"]):
             continue
         begins = np.flatnonzero(np.concatenate([[True], new["anchor"][1:] != new["anchor"][:-1]]))
@@ -204,29 +206,62 @@ def _part(big: bool, anchor, key, doc, at, n, words) -> pa.RecordBatch:
 
 
 def _stream(window: int):
-    """Streams the spans of each anchor, sorted by id and place, through the automaton of those before."""
+    """Streams the spans of each anchor, sorted by id and place, through the automaton of those before.
+
+    Documents that share an id know those of lesser ids; among them a window is earlier by its place.
+    """
 
     def run(batches):
-        anchor, known, waiting = None, None, None
+        anchor, doc, known, group, waiting = None, None, None, [], []
+
+        def begins_before(words):
+            nonlocal known, waiting
+            if waiting and known is None:
+                known = SuffixAutomaton()
+            for x in waiting:
+                known.add(x)
+            waiting = []
+            return [k - window + 1 for k, size in enumerate(known.matching(words)) if size >= window] if known is not None else []
+
+        def settled():
+            """The windows that go of the spans of one id, which are known from then on."""
+            several, first, new = any(key != group[0][0] for key, _, _ in group), {}, []
+            windows = lambda words: (tuple(words[k : k + window]) for k in range(len(words) - window + 1))
+            if several:
+                for _, at, words in group:
+                    for k, w in enumerate(windows(words)):
+                        first[w] = min(first.get(w, at + k), at + k)
+            for key, at, words in group:
+                gone = begins_before(words)
+                whole = len(gone) == len(words) - window + 1
+                if several:
+                    gone = sorted({*gone, *(k for k, w in enumerate(windows(words)) if first[w] < at + k)})
+                yield from ((key, at + k, 1) for k in gone)
+                if not whole:
+                    (new if several else waiting).append(words)
+            waiting.extend(new)
+
         for batch in batches:
             out = []
-            for own, key, at, words in zip(*(batch[c].to_pylist() for c in ("anchor", "key", "at", "words")), strict=True):
-                if own != anchor:
-                    anchor, known, waiting = own, None, words
-                    continue
-                if known is None:
-                    known = SuffixAutomaton()
-                    known.add(waiting)
-                long = [k for k, size in enumerate(known.matching(words)) if size >= window]
-                out += [(key, at + k - window + 1, 1) for k in long]
-                if len(long) < len(words) - window + 1:
-                    known.add(words)
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "at", "n"])
+            for own, i, key, at, words in zip(*(batch[c].to_pylist() for c in ("anchor", "id", "key", "at", "words")), strict=True):
+                if (own, i) != (anchor, doc):
+                    out += settled()
+                    group = []
+                    if own != anchor:
+                        known, waiting = None, []
+                    anchor, doc = own, i
+                group.append((key, at, words))
+            yield _runs(out)
+        yield _runs(list(settled()))
 
     return run
 
 
+def _runs(out: list) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) if out else [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "at", "n"])
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, at, n: runs of n windows from place at that also start earlier. docs: key, id, text."""
     sent = docs.mapInArrow(_local(window), FOUND)

@@ -105,3 +105,30 @@ def test_settling_does_not_depend_on_batches(monkeypatch):
         want += [(2 if len(group) > 6 else 1, *r) for r in group if len(group) > 1]
     for size in (1, 2, 3, 7, 50, 1000):
         assert run(size) == sorted(want), size
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_partly_shared_passages_of_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MOST_SPANS", most)
+    rnd = random.Random(7)
+    word = lambda n: ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        shared = word(26)
+        rows.append((3, word(9) + shared + word(9)))
+        twin = shared + word(30)
+        rows += [(5, twin + word(3)), (5, twin + word(4)), (None, twin + word(5)), (None, word(1) + twin + word(5)), (5, word(2) + shared + word(8))]
+    windows = [{} for _ in rows]
+    least = {}
+    for n, (i, w) in enumerate(rows):
+        for k in range(len(w) - 19):
+            windows[n][k] = tuple(w[k : k + 20])
+            spot = (i is None, i or 0, k)
+            least[windows[n][k]] = min(least.get(windows[n][k], spot), spot)
+    want = []
+    for n, (i, w) in enumerate(rows):
+        gone = {k + j for k, x in windows[n].items() if least[x] < (i is None, i or 0, k) for j in range(20)}
+        want.append((i or 0, len(w), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    docs = spark.createDataFrame([(i, " ".join(w), "", "", "") for i, w in rows], DOCS).repartition(3)
+    got = [(r.id or 0, r.n_words, r.kept_text) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want)
