@@ -119,11 +119,24 @@ def _short(full: np.ndarray) -> np.ndarray:
     return top[np.concatenate([[True], top[1:] != top[:-1]])] if len(top) else top
 
 
-def _signed(batches):
+def banding(similarity: float) -> tuple[int, int]:
+    """Bands and rows by which a pair of this similarity shares no band with a chance of 3 in a million at most."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity must be above 0 and at most 1, not {similarity}")
+    if similarity >= SIMILARITY:
+        return BANDS, ROWS
+    for rows in range(ROWS, 0, -1):
+        bands = int(np.ceil(BANDS * np.log1p(-(SIMILARITY**ROWS)) / np.log1p(-(similarity**rows))))
+        if bands <= 4 * BANDS:
+            break
+    return bands, rows
+
+
+def _signed(batches, bands: int = BANDS, rows: int = ROWS):
     for batch in batches:
         for part in text_slices(batch, most=1_000_000):
             sets = shingle_sets(part["text"].to_pylist())
-            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(dart_minhash(sets)), strict=True)]
+            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(dart_minhash(sets, k=bands * rows), bands, rows), strict=True)]
             short = [_short(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
             flat = pa.array(np.concatenate(short).view(np.int32) if short else np.zeros(0, np.int32), pa.int32())
@@ -131,10 +144,11 @@ def _signed(batches):
             yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "digest", "keys", "shingles"])
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """uid, id, digest of the text, band keys and 32-bit shingle hashes of every row."""
+    bands, rows = banding(similarity)
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("digest"), text_or_empty(text_col).alias("text"))
-    return own.mapInArrow(_signed, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
+    return own.mapInArrow(lambda batches: _signed(batches, bands, rows), "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -256,7 +270,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     Rows that repeat an id are rows of their own; the row kept has the least id (null last), then
     the first place. No rows give no rows; further columns are not read.
     """
-    signed = stored(signatures(docs, id_col, text_col), "signed")
+    signed = stored(signatures(docs, id_col, text_col, similarity), "signed")
     label = components(links(signed, similarity))
     one = signed.groupBy("digest").agg(F.min("uid").alias("stand"))
     named = one.join(label.select(F.col("node").alias("stand"), "label"), "stand", "left").select("digest", F.coalesce("label", "stand").alias("class"))

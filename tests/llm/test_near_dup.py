@@ -111,3 +111,20 @@ def test_links_do_not_rest_on_short_signatures(spark, alike):
     rows = [(uid, uid, bytearray([uid]), keys[uid], shingles[uid], low[uid]) for uid in range(3)]
     signed = spark.createDataFrame(rows, "uid long, id long, digest binary, keys array<bigint>, shingles array<int>, low binary")
     assert {(r.a, r.b) for r in near_dup.links(signed).collect()} == {(2, 1)}
+
+
+def test_bands_follow_the_similarity(spark):
+    assert near_dup.banding(0.8) == near_dup.banding(0.95) == (near_dup.BANDS, near_dup.ROWS)
+    for s in (0.05, 0.2, 0.35, 0.5, 0.65, 0.79, 0.8):
+        bands, rows = near_dup.banding(s)
+        assert (1 - s**rows) ** bands <= 3.1e-6
+    for s in (0, -1, 1.1):
+        with pytest.raises(ValueError):
+            near_dup.banding(s)
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):  # pairs of a similarity of 0.5
+        words = [f"w{rnd.random()}" for _ in range(120)]
+        rows += [(2 * i, " ".join(words[:91]), "", "", "", ""), (2 * i + 1, " ".join(words[29:]), "", "", "", "")]
+    got = near_dup.classes(spark.createDataFrame(rows, DOCS), similarity=0.5).collect()
+    assert {r.id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(120)}
