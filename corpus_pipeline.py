@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, exact_dedup, language_id, near_dup, packing
-from corpusloom.llm.shared import stored, table
+from corpusloom.llm.shared import drop_stored, stored, stored_count, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; rejected are those without letters, or if none is learned."""
+    """Documents in a known language; rejected are those without letters, so null and empty texts too.
+
+    Where no row has a language, none can be learned, and all documents with letters stay. Repeated
+    rows fare alike, no rows give no rows, and further columns are kept whatever their names.
+    """
     model = language_id.learn(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs.select(F.struct("*").alias("__doc"), "text"), model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("__doc.*")
+    if not model.families:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = docs.select(F.struct("*").alias("doc"), language_id.language_of(spark, model, F.col("text")).alias("found"))
+    return found.where(F.col("found.lang_pred") != language_id.UNKNOWN).select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        mark = stored_count()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name)
+            drop_stored(spark, since=mark, but=docs)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -16,6 +17,8 @@ from corpusloom.llm.shared import table, text_or_empty, text_slices
 BITS = 13
 #: The documented bound of the training sample: about this many labelled rows of each language.
 TRAIN_ROWS = 300
+#: and at most this many of all languages together.
+MOST_ROWS = 6000
 UNKNOWN = "und"
 #: Families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -156,19 +159,26 @@ def _shares(batches):
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "code", "share"])
 
 
-def sample_of(rows: DataFrame, key: str, most: int, seed: Column) -> DataFrame:
-    """About `most` rows of each value of key, the same ones on every run."""
+def sample_of(rows: DataFrame, key: str, most: int, seed: Column, whole: int | None = None) -> DataFrame:
+    """About `most` rows of each value of key, and `whole` rows of all values, the same ones on every run."""
     counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
     if not counts:
         return rows.limit(0)
+    if whole is not None:
+        if len(counts) > whole:
+            raise ValueError(f"{len(counts)} values of {key}: more than the {whole} rows to learn from")
+        most = min(most, whole // len(counts))
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))]), F.col(key))
-    return rows.where(F.pmod(seed, F.lit(1 << 30)) < share * (1 << 30)).limit(2 * most * len(counts))
+    return rows.where(F.pmod(seed, F.lit(1 << 30)) < share * (1 << 30))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on about train_rows rows of each language; executors turn texts to shares."""
+    """Fits a model on about train_rows rows of each language (MOST_ROWS of all); executors turn texts to shares.
+
+    Rows of equal id and text are one row. No row with a language gives a model that knows none.
+    """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    chosen = sample_of(rows, "lang", train_rows, F.xxhash64("id", "text")).select("lang", "text")
+    chosen = sample_of(rows, "lang", train_rows, F.xxhash64("id", "text"), MOST_ROWS).dropDuplicates(["lang", "id", "text"]).select("lang", "text")
     got = chosen.mapInArrow(_shares, "lang string, code array<int>, share array<float>").collect()
     counts, langs = np.zeros((len(got), 1 << BITS), np.float32), []
     for k, r in enumerate(sorted(got)):
@@ -178,24 +188,33 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(counts[rows], [langs[k] for k in rows])
 
 
+def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """lang_pred and score of a text, which goes to Python once and alone."""
+    held = spark.sparkContext.broadcast(model)  # bounded by the languages and 2**BITS
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            langs, scores = [], []
+            for part in text_slices(pa.record_batch([batch], names=["text"]), most=1_000_000):
+                lang, score = predict(held.value, part["text"].to_pylist())
+                langs += lang
+                scores += score
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return found.asNondeterministic()(F.coalesce(text, F.lit("")))  # a filter on it shall not run it again
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; whole texts are read, other columns only passed through.
+    """docs with lang_pred and score, from whole texts; other columns are only passed through.
 
     Null and empty texts and texts without letters are `und` with score 0. Repeated rows get equal
-    results, an empty table gives no rows, and columns named like the new ones are replaced.
+    results, an empty table gives no rows, columns named like the new ones are replaced, and all
+    others stay as they are, whatever their names.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the languages and 2**BITS
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "__text", 1_000_000):
-                lang, score = predict(held.value, part["__text"].to_pylist())
-                cols = [part[c] for c in part.schema.names if c != "__text"] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in part.schema.names if c != "__text"), "lang_pred", "score"])
-
-    passed = docs.drop("lang_pred", "score")
-    schema = passed.schema.add("lang_pred", "string").add("score", "double")
-    return passed.withColumn("__text", text_or_empty(text_col)).mapInArrow(run, schema)
+    passed = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    both = docs.select(F.struct(*passed).alias("row"), language_of(docs.sparkSession, model, F.col(text_col)).alias("found"))
+    return both.select("row.*", "found.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

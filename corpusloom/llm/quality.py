@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import SPACE, joined, letters, marks, sums
@@ -193,35 +194,46 @@ def _measured(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Ranking:
-    """Fits a ranking on about train_rows labelled rows of each label; rows without label don't count."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+    """Fits a ranking on about train_rows labelled rows of each label; rows without label don't count.
+
+    Of documents that repeat an id the one of least hash is learned from; a label given twice counts once, and
+    an id with both labels counts as both.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    chosen = F.broadcast(sample_of(known, "label", train_rows, F.xxhash64("__id")))  # at most 4 * train_rows rows
-    rows = docs.join(chosen, docs[id_col] == F.col("__id")).select("label", text_or_empty(text_col).alias("text"))
-    got = rows.mapInArrow(_measured, "label int, x array<double>").collect()
+    chosen = F.broadcast(sample_of(known, "label", train_rows, F.xxhash64("__id")))  # about 2 * train_rows rows
+    own = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
+    first = own.join(chosen, "__id").groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
+    got = first.mapInArrow(_measured, "label int, x array<double>").collect()
     if not got:
         return Ranking(np.zeros((len(MEASURES), BINS - 1)), np.zeros((len(MEASURES), BINS)))
     got = sorted(got)
     return fit(np.array([r.x for r in got]), np.array([r.label for r in got]), counts.get(1, 0) / sum(counts.values()))
 
 
+def quality_of(spark: SparkSession, ranking: Ranking, text: Column) -> Column:
+    """The chance (0 to 1) that a text has label 1; the text goes to Python once and alone."""
+    held = spark.sparkContext.broadcast(ranking)  # bounded by measures and bins
+
+    @F.arrow_udf("double")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = text_slices(pa.record_batch([batch], names=["text"]), most=1_000_000)
+            scores = [held.value.chances(measures(part["text"].to_pylist())) for part in parts]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+
+    return found.asNondeterministic()(F.coalesce(text, F.lit("")))  # a filter on it shall not run it again
+
+
 def score(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1): the chance that a document has label 1, from its whole text.
 
     Null texts count as empty, and empty texts have measures like any other. Repeated rows get
-    equal scores, no rows give no rows, and a column named score is replaced.
+    equal scores, no rows give no rows, a column named score is replaced, and others stay as they
+    are, whatever their names.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ranking)  # bounded by measures and bins
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "__text", 1_000_000):
-                found = held.value.chances(measures(part["__text"].to_pylist()))
-                names = [c for c in part.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(found, pa.float64())], names=[*names, "score"])
-
-    passed = docs.drop("score")
-    return passed.withColumn("__text", text_or_empty(text_col)).mapInArrow(run, passed.schema.add("score", "double"))
+    passed = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
+    return docs.select(F.struct(*passed).alias("row"), quality_of(docs.sparkSession, ranking, F.col(text_col)).alias("score")).select("row.*", "score")
 
 
 def keep_best(scored: DataFrame, quantile: float, score_col: str = "score") -> DataFrame:
