@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
+import heapq
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,26 +19,40 @@ def align(length: int, step: int) -> int:
     return -(-length // step) * step
 
 
+class Rooms:
+    """Blocks by the room that is left in them. A bit for each room that some block has finds the tightest fit."""
+
+    def __init__(self):
+        self.some, self.blocks = 0, defaultdict(list)
+
+    def put(self, room: int, block: int) -> None:
+        heapq.heappush(self.blocks[room], block)
+        self.some |= 1 << room
+
+    def take(self, size: int) -> tuple[int, int] | None:
+        """The room and the lowest block of the least room that holds the size."""
+        fitting = self.some >> size
+        if not fitting:
+            return None
+        room = size + (fitting & -fitting).bit_length() - 1
+        block = heapq.heappop(self.blocks[room])
+        if not self.blocks[room]:
+            self.some &= ~(1 << room)
+        return room, block
+
+
 def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
     """(block, segment, offset) of each whole example: longest first, each where the least room is left."""
-    free: list[tuple[int, int]] = []
-    used: list[int] = []
-    segments: list[int] = []
-    out: list = [None] * len(lengths)
-    for k in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        n = lengths[k]
-        at = bisect.bisect_left(free, (n, -1))
-        if at == len(free):
-            block, room = len(used), capacity
-            used.append(0)
+    rooms, segments = Rooms(), []
+    spots = {}
+    for length, example in sorted(((n, k) for k, n in enumerate(lengths)), key=lambda x: (-x[0], x[1])):
+        room, block = rooms.take(length) or (capacity, len(segments))
+        if block == len(segments):
             segments.append(0)
-        else:
-            room, block = free.pop(at)
-        out[k] = (block, segments[block], used[block])
-        used[block] += n
+        spots[example] = (block, segments[block], capacity - room)
         segments[block] += 1
-        bisect.insort(free, (room - n, block))
-    return out
+        rooms.put(room - length, block)
+    return [spots[k] for k in range(len(lengths))]
 
 
 def count_blocks(histogram: list[tuple[int, int]], capacity: int) -> int:

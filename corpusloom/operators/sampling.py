@@ -86,20 +86,24 @@ def balanced_pairs(one: DataFrame, two: DataFrame, order: str, size: str, base_r
 
 
 def quotas(available: dict[str, int], weights: dict[str, float], target: int, favoured: tuple[str, ...], least: float) -> dict[str, int]:
-    """Weighted quotas; what a source lacks goes to others with spare rows, favoured ones first."""
+    """Weighted quotas; what sources lack goes to those with spare rows, favoured ones and larger spares first.
+
+    The shortfall is laid along the spares in that order: each takes the part of it that falls on its
+    own stretch. A surplus from rounding is taken off the first.
+    """
     if sum(available.values()) < target:
         raise ValueError("not enough available for the target")
-    out = {k: min(round(target * w), available.get(k, 0)) for k, w in weights.items()}
-    spare = lambda k: available.get(k, 0) - out[k]
-    left = target - sum(out.values())
-    for group in (favoured, tuple(k for k in weights if k not in favoured)):
-        for k in sorted(group, key=spare, reverse=True):
-            add = min(left, spare(k))
-            out[k] += add
-            left -= add
-    if sum(out[k] for k in favoured) / target < least:
+    t = pd.DataFrame({"name": list(weights), "have": [available.get(k, 0) for k in weights], "want": [round(target * w) for w in weights.values()]})
+    t["quota"] = t[["have", "want"]].min(axis=1)
+    t["spare"], t["late"] = t["have"] - t["quota"], ~t["name"].isin(favoured)
+    t = t.sort_values(["late", "spare"], ascending=[True, False], kind="stable")
+    lacking = target - t["quota"].sum()
+    t["quota"] += (lacking - (t["spare"].cumsum() - t["spare"])).clip(lower=0, upper=t["spare"])
+    if len(t):
+        t.iloc[0, t.columns.get_loc("quota")] += min(lacking, 0)
+    if t.loc[~t["late"], "quota"].sum() / target < least:
         raise ValueError("the favoured sources can't reach their share")
-    return out
+    return {k: int(t.loc[t["name"] == k, "quota"].iloc[0]) for k in weights}
 
 
 def replay_rows(n: int, share: float) -> int:
