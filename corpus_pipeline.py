@@ -27,22 +27,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the longest original, then the least id."""
+    """One document of each group of equal texts: the longest original, then the least id (null last).
+
+    Null texts count as empty; of rows equal in id and text one stays; no rows give no rows.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the least id."""
+    """One document of each class of near-duplicates: the least id (null last).
+
+    Null texts count as empty, and those are one class; of rows equal in id and text one stays; no
+    rows give no rows.
+    """
     return near_dup.drop_near(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of benchmark text."""
+    """Documents without a window of benchmark text.
+
+    The text decides, whatever the id; null and empty texts stay; no rows give no rows.
+    """
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents with their places in sequences."""
+    """The pieces of the remaining documents with their places in sequences.
+
+    Null and empty texts are an end id; rows that repeat an id are packed apart; no rows give no rows.
+    """
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

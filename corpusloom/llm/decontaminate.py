@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import table, text_or_empty
+from corpusloom.llm.shared import stored, table, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: More windows of benchmark text than this are not broadcast but joined by their hash.
-MAX_BROADCAST_WINDOWS = 2_000_000
+#: Windows whose texts and item lists take more bytes than this are not broadcast but joined by their hash.
+MAX_BROADCAST_BYTES = 32_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,16 +20,23 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the items: size, hash, text and the ids of the items that have it.
+    """Distinct windows of the items: size, hash, text, the ids of the items that have it, and an anchor.
 
     An item of fewer words than a window is one window of its own size; one without words has none.
+    The anchor is the window's word that fewest windows have (the longest of these): its hash and its
+    place in the window, from 0.
     """
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(text_or_empty(text_col)).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(window)))
     at = items.select("item", "size", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at"))
     found = at.select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("part"))
-    return found.groupBy("size", F.xxhash64("part").alias("hash"), F.array_join("part", " ").alias("window_text")).agg(
-        F.collect_set("item").alias("items")
+    distinct = found.groupBy("part").agg(F.collect_set("item").alias("items")).withColumn("n", F.monotonically_increasing_id())
+    distinct = stored(distinct, "tests")
+    each = distinct.select("n", F.posexplode("part").alias("place", "word"))
+    rare = each.groupBy("word").agg(F.count("*").alias("times"))
+    ranked = each.join(rare, "word").groupBy("n").agg(F.min(F.struct("times", -F.length("word"), "word", "place")).alias("best"))
+    return distinct.join(ranked, "n").select(
+        F.size("part").alias("size"), F.xxhash64("part").alias("hash"), F.array_join("part", " ").alias("window_text"), "items", F.xxhash64("best.word").alias("anchor"), F.col("best.place").alias("place")
     )
 
 
@@ -52,60 +59,85 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["n"])
 
 
-def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the `keep` columns, n_words, n_hit, hits (word place from 1, size), items.
+def _met_in_place(own: DataFrame, tests: DataFrame) -> DataFrame:
+    """row, kept, n_words, hits, items, where the windows are small enough for every task.
 
-    Every window of every document is hashed where the document is read and looked up in the
-    broadcast windows; only documents and hits leave the task. A hit counts if the words are equal
-    too. Null and empty texts have no words and no hits. Repeated rows are documents of their own,
-    told apart by the number of the row. An empty benchmark hits nothing.
+    A document's words are looked up among the anchors as they are read; only where one is met is the
+    window around it hashed, looked at, and its text compared. Place 0 stands for the document itself.
     """
-    tests = benchmark_windows(benchmark, window, item_col)
-    summary = tests.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    sizes = sorted(summary["sizes"])  # at most `window` numbers
-    tests = tests.withColumnsRenamed({"size": "t_size", "hash": "t_hash"})
-    if summary["n"] <= MAX_BROADCAST_WINDOWS:
-        tests = F.broadcast(tests)
-    own = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*keep).alias("__keep"), words(text_or_empty(text_col)).alias("__w"))
-    parts = [_hashed_windows(F.col("__w"), size) for size in sizes]
-    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")))
-    spread = own.withColumn("__p", F.concat(none, *parts)).select("__row", "__keep", "__w", F.explode_outer("__p").alias("p"))
-    met = spread.join(tests, (F.col("p.hash") == F.col("t_hash")) & (F.col("p.size") == F.col("t_size")), "left")
-    real = F.col("t_hash").isNotNull() & (F.array_join(F.slice("__w", F.col("p.at"), F.col("p.size")), " ") == F.col("window_text"))
-    hit = F.when(F.col("p.size") > 0, real).otherwise(F.lit(False))
-    rows = met.where((F.col("p.at") == 0) | hit).select(
-        "__row",
-        "__keep",
-        F.when(F.col("p.at") == 0, F.size("__w").cast("long")).alias("n_words"),
-        F.when(F.col("p.at") > 0, F.struct(F.col("p.at").alias("at"), F.col("p.size").alias("size"))).alias("hit"),
-        F.when(F.col("p.at") > 0, F.col("items")).alias("items"),
+    each = own.select("row", "kept", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
+    start, size = F.col("at") - F.col("place"), F.col("size")
+    part = F.slice("w", start, size)
+    real = F.when((start >= 1) & (start + size - 1 <= F.size("w")), (F.xxhash64(part) == F.col("hash")) & (F.array_join(part, " ") == F.col("window_text"))).otherwise(F.lit(False))
+    met = each.join(F.broadcast(tests), (F.xxhash64("word") == F.col("anchor")) & real, "left").where((F.col("at") == 0) | F.col("hash").isNotNull())
+    rows = met.select(
+        "row",
+        F.when(F.col("at") == 0, F.col("kept")).alias("kept"),
+        F.when(F.col("at") == 0, F.size("w").cast("long")).alias("n_words"),
+        F.when(F.col("at") > 0, F.struct(start.alias("at"), size.alias("size"))).alias("hit"),
+        F.when(F.col("at") > 0, F.col("items")).alias("items"),
     )
-    return (
-        rows.groupBy("__row")
-        .agg(
-            F.first("__keep").alias("__keep"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.collect_set("hit")).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .select("__keep.*", "n_words", _covered(F.col("hits")).alias("n_hit"), "hits", "items")
+    return rows.groupBy("row").agg(
+        F.first("kept", ignorenulls=True).alias("kept"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a test window, columns unchanged (rows without id stay)."""
-    found = overlap(docs, benchmark, window, text_col, keep=(id_col,)).where("n_hit > 0")
-    return docs.join(found.select(F.col(id_col).alias("__hit")).distinct(), docs[id_col] == F.col("__hit"), "left_anti")
+def _met_by_hash(own: DataFrame, tests: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for any number of windows: places and hashes alone are shuffled, and words are fetched for hits."""
+    own = stored(own, "words")
+    each = own.select("row", F.explode(F.concat(*[_hashed_windows(F.col("w"), size) for size in sizes])).alias("p")).select("row", "p.*")
+    met = each.join(tests.select("size", "hash", "window_text", "items"), ["size", "hash"])
+    met = met.groupBy("row").agg(F.collect_list(F.struct("at", "size", "window_text", "items")).alias("met"))
+    real = F.filter("met", lambda m: F.array_join(F.slice("w", m["at"], m["size"]), " ") == m["window_text"])
+    both = own.join(met, "row", "left").withColumn("real", F.coalesce(real, F.array().cast("array<struct<at:int,size:int,window_text:string,items:array<string>>>")))
+    hits = F.array_sort(F.array_distinct(F.transform("real", lambda m: F.struct(m["at"].alias("at"), m["size"].alias("size")))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda m: m["items"]))))
+    return both.select("row", "kept", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), items.alias("items"))
+
+
+def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ("doc_id",), most_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """One row per document: the `keep` columns, n_words, n_hit, hits (word place from 1, size), items.
+
+    Windows that take `most_bytes` at most are broadcast; more are joined by their hash. A hit counts
+    if the words are equal too. Null and empty texts have no words and no hits. Repeated rows are
+    documents of their own, told apart by the number of the row. An empty benchmark hits nothing;
+    windows of items without id count, but name no item.
+    """
+    tests = stored(benchmark_windows(benchmark, window, item_col), "windows")
+    cost = F.octet_length("window_text") + F.coalesce(F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + 32), F.lit(0)) + 96
+    summary = tests.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).first()
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"), words(text_or_empty(text_col)).alias("w"))
+    if summary["bytes"] <= most_bytes:
+        found = _met_in_place(own, tests)
+    else:
+        found = _met_by_hash(own, tests, sorted(summary["sizes"]) or [window])  # at most `window` sizes
+    return found.select("kept.*", "n_words", _covered(F.col("hits")).alias("n_hit"), "hits", "items")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """docs without the documents that hold a test window, columns unchanged whatever their names.
+
+    The text alone decides, so rows fare alike whose texts are equal, whatever their ids. Null and
+    empty texts stay, no rows give no rows, and an empty benchmark drops nothing.
+    """
+    digest = F.unhex(F.md5(text_or_empty(text_col)))
+    own = docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
+    gone = overlap(own, benchmark, window, keep=("digest",)).where("n_hit > 0").select("digest").distinct()
+    return docs.select(F.struct("*").alias("doc"), digest.alias("digest")).join(gone, "digest", "left_anti").select("doc.*")
 
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's remaining words, lower-cased and joined by a space, where hit words are cut out."""
+    """id_col, clean_text and n_hit: each document's other words, lower-cased and joined by a space.
+
+    Null and empty texts give an empty one, repeated rows are rows of their own, no rows give no
+    rows, and an empty benchmark cuts nothing; further columns are not read.
+    """
     kept = F.filter(
-        F.transform(words(F.col("__text")), lambda w, i: F.when(~F.exists("hits", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["size"])), w)),
+        F.transform(words(F.col("text")), lambda w, i: F.when(~F.exists("hits", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["size"])), w)),
         lambda w: w.isNotNull(),
     )
-    named = docs.withColumn("__text", text_or_empty(text_col))
-    return overlap(named, benchmark, window, "__text", keep=(id_col, "__text")).select(id_col, F.array_join(kept, " ").alias("clean_text"), "n_hit")
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return overlap(own, benchmark, window, keep=("id", "text")).select(F.col("id").alias(id_col), F.array_join(kept, " ").alias("clean_text"), "n_hit")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

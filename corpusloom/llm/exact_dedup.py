@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.cuckoo import CuckooIndex
-from corpusloom.llm.shared import stored, table, text_or_empty
+from corpusloom.llm.shared import keep_marked, stored, table, text_or_empty, trimmed
 
+#: Digests that one index holds: some 100 MB of a worker.
+MOST_LIVE = 200_000
 SPACES = r"[\x20\x09-\x0D]"
 INDEX_SCHEMA = "digest binary, norm_len long, n_rows long, best_len long, best_id long, best_uid long"
 
@@ -16,27 +20,42 @@ INDEX_SCHEMA = "digest binary, norm_len long, n_rows long, best_len long, best_i
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One small row per document: uid (a number of the row), its id, length, and normalised digest."""
     text = text_or_empty(text_col)
-    norm = F.regexp_replace(text, SPACES, "")
+    norm = _normalised(text_col)
     return docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(id_col).cast("long").alias("id"),
         F.char_length(text).cast("long").alias("n_chars"),
         F.char_length(norm).cast("long").alias("norm_len"),
-        F.unhex(F.sha2(norm, 256)).alias("digest"),
+        _digest(text_col).alias("digest"),
     )
 
 
+def _normalised(text_col: str):
+    return F.regexp_replace(text_or_empty(text_col), SPACES, "")
+
+
+def _digest(text_col: str):
+    return F.unhex(F.sha2(_normalised(text_col), 256))
+
+
 def _better(a: tuple, b: tuple) -> bool:
     """(length, id, uid): the longer original stays, then the smaller id (null last), then the earlier row."""
     return (-a[0], a[1] is None, a[1] or 0, a[2]) < (-b[0], b[1] is None, b[1] or 0, b[2])
 
 
-def _index_part(batches):
-    """Feeds one partition to a cuckoo index and returns its live entries."""
-    index = CuckooIndex()
+def _index_part(batches, most: int = MOST_LIVE):
+    """Feeds one partition to a cuckoo index and returns its live entries.
+
+    An index of `most` entries is returned and another begun, between two different digests: where
+    equal digests are neighbours this splits no group, and elsewhere a later index merges the parts.
+    """
+    index, last = CuckooIndex(), None
     for batch in batches:
         for digest, norm_len, n, *best in zip(*(batch.column(c).to_pylist() for c in ("digest", "norm_len", "n_rows", "best_len", "best_id", "best_uid")), strict=True):
-            best = tuple(best)
+            if index.size >= most and digest != last:
+                yield from _entries(index)
+                index = CuckooIndex()
+            best, last = tuple(best), digest
             live = index.find(digest, norm_len)
             if live is None:
                 index.insert(digest, norm_len, [n, best])
@@ -45,21 +64,26 @@ def _index_part(batches):
                 index.insert(digest, norm_len, [live[0] + n, best])
             else:
                 live[0] += n
-    rows = [(d, w, n, *best) for d, w, (n, best) in index.entries()]
+    yield from _entries(index)
+
+
+def _entries(index: CuckooIndex):
+    rows = ((d, w, n, *best) for d, w, (n, best) in index.entries())
     schema = pa.schema([("digest", pa.binary()), *((c, pa.int64()) for c in ("norm_len", "n_rows", "best_len", "best_id", "best_uid"))])
-    for at in range(0, len(rows), 20_000):
-        part = list(zip(*rows[at : at + 20_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema, strict=True)], schema=schema)
+    while part := list(islice(rows, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
-def live_index(marks: DataFrame) -> DataFrame:
+def live_index(marks: DataFrame, most: int = MOST_LIVE) -> DataFrame:
     """The distinct digests with their row counts and the row that stays.
 
     Each input partition is indexed first, so a text with many copies sends one entry per partition
-    to the partition of its digest, where a second index merges the entries.
+    to the partition of its digest, where a second index, fed in the order of digests, merges the
+    entries. No index holds more than `most` digests.
     """
     own = marks.select("digest", "norm_len", F.lit(1).cast("long").alias("n_rows"), F.col("n_chars").alias("best_len"), F.col("id").alias("best_id"), F.col("uid").alias("best_uid"))
-    return own.mapInArrow(_index_part, INDEX_SCHEMA).repartition("digest").mapInArrow(_index_part, INDEX_SCHEMA)
+    part = lambda batches: _index_part(batches, most)
+    return own.mapInArrow(trimmed(part), INDEX_SCHEMA).repartition("digest").sortWithinPartitions("digest").mapInArrow(trimmed(part), INDEX_SCHEMA)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,19 +98,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, its columns unchanged."""
-    found = groups(docs, id_col, text_col)
-    keys = stored(found.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "copies")
-    gone = keys.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    again = keys.where(F.col("kept") & (F.col("times") > 1)).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__d", F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACES, ""), 256))).withColumn("__i", F.col(id_col).cast("long"))
-    same = lambda t: F.col("__i").eqNullSafe(t["__id"]) & (F.col("__d") == t["__digest"])
-    rest = marked.join(gone, same(gone), "left_anti")
-    if again.isEmpty():
-        return rest.drop("__d", "__i")
-    once = rest.join(again, same(again), "left_anti")
-    more = rest.join(again, same(again), "left_semi").dropDuplicates(["__i", "__d"])
-    return once.unionByName(more).drop("__d", "__i")
+    """docs with exactly one row of each group of equal texts, columns unchanged whatever their names.
+
+    Null texts count as empty, and empty texts are one group. Of rows equal in id and normalised text
+    any one may stay if one of them does. No rows give no rows.
+    """
+    return keep_marked(docs, groups(docs, id_col, text_col), id_col, text_col, _digest(text_col))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import table, text_or_empty, text_slices
 
-MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
-    r"|<[!?/][^>]*+>",
-    re.S,
-)
+def _markup(attrs: str) -> re.Pattern:
+    return re.compile(rf"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?:{attrs}(?P<loose>[^>]*+>))|<[!?/][^>]*+>", re.S)
+
+
+#: A tag ends at the first > outside quotes, or at the first at all if its quotes are never closed.
+MARKUP = _markup(r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)|")
+#: After this many tags with quotes that are never closed, the quotes of a page mean nothing any more.
+BARE, MOST_BROKEN = _markup("(?P<attrs>(?!))|"), 8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, and none of the page's text.
 RAW = frozenset("script style template noscript iframe noembed noframes object textarea title svg math".split())
@@ -68,57 +71,60 @@ class Node:
 def parse(html: str) -> Node:
     """A tree of elements and decoded texts; unclosed, misnested and unknown tags are borne."""
     root = Node("html", "", None)
-    stack, opened, at, n = [root], Counter(), 0, len(html)
+    stack, at, n = [root], 0, len(html)
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
+    last, markup, broken = html.rfind(">") + 1, MARKUP, 0
 
     def close(down_to: int) -> None:
         for x in stack[down_to:]:
-            opened[x.tag] -= 1
+            opened[x.tag].pop()
         del stack[down_to:]
 
     def end_open(tags: frozenset | tuple, fence: frozenset | tuple) -> None:
         """Ends the open elements of these tags within the fence."""
         if any(opened[t] for t in tags):
-            found = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in fence:
-                    break
-                if stack[k].tag in tags:
-                    found = k
-            if found:
-                close(found)
+            edge = max((opened[t][-1] for t in fence if opened[t]), default=0)
+            inside = [opened[t][k] for t in tags if (k := bisect_right(opened[t], edge)) < len(opened[t])]
+            if inside:
+                close(min(inside))
 
     while at < n:
-        m = MARKUP.search(html, at)
+        m = markup.search(html, at, last)
         if not m:
-            stack[-1].children.append(unescape(html[at:]))
+            stack[-1].children.append(unescape(html[at:].partition("<!--")[0]))
             break
         if m.start() > at:
             stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
         if m["tag"] is None:
+            if at == last and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                break
             continue
-        tag = m["tag"].lower()
+        tag, attrs = m["tag"].lower(), m["attrs"] or m["loose"]
+        if m["attrs"] is None and ('"' in attrs or "'" in attrs):
+            broken += 1
+            markup = BARE if broken > MOST_BROKEN else MARKUP
         if m["end"]:
             if opened[tag]:
-                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+                close(opened[tag][-1])
             continue
         if tag in ENDS_P:
             end_open(("p",), P_FENCE)
         if tag in CLOSES:
             end_open(*CLOSES[tag])
         if tag in RAW:
-            if not m["attrs"].endswith("/>") or tag in ("script", "style", "title"):
+            if not attrs.endswith("/>") or tag in ("script", "style", "title"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else n
             continue
         if tag == "html":
-            root.attrs = root.attrs or m["attrs"]
+            root.attrs = root.attrs or attrs
             continue
-        child = Node(tag, m["attrs"], stack[-1])
+        child = Node(tag, attrs, stack[-1])
         stack[-1].children.append(child)
-        if tag not in VOID and not (m["attrs"].endswith("/>") and tag in ASIDE):
+        if tag not in VOID and not (attrs.endswith("/>") and tag in ASIDE):
+            opened[tag].append(len(stack))
             stack.append(child)
-            opened[tag] += 1
     return root
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import joined, trigrams
-from corpusloom.llm.shared import table, text_or_empty, text_slices
+from corpusloom.llm.shared import table, text_or_empty, text_slices, trimmed
 
 BITS = 13
 #: The documented bound of the training sample: about this many labelled rows of each language.
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     chosen = sample_of(rows, "lang", train_rows, F.xxhash64("id", "text"), MOST_ROWS).dropDuplicates(["lang", "id", "text"]).select("lang", "text")
-    got = chosen.mapInArrow(_shares, "lang string, code array<int>, share array<float>").collect()
+    got = chosen.mapInArrow(trimmed(_shares), "lang string, code array<int>, share array<float>").collect()
     counts, langs = np.zeros((len(got), 1 << BITS), np.float32), []
     for k, r in enumerate(sorted(got)):
         counts[k, r.code] = r.share
@@ -194,6 +194,9 @@ def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(scored)(texts)
+
+    def scored(texts):
         for batch in texts:
             langs, scores = [], []
             for part in text_slices(pa.record_batch([batch], names=["text"]), most=1_000_000):

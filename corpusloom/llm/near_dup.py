@@ -8,24 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import joined, mix, word_keys
-from corpusloom.llm.shared import stored, table, text_or_empty, text_slices
+from corpusloom.llm.shared import forget, keep_marked, stored, table, text_or_empty, text_slices, trimmed
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8**5)**32, 3 in a million.
 BANDS, ROWS = 32, 5
-#: Rows of a bucket that are compared at once.
-BLOCK = 4096
-#: Leading bits of a shingle's hash that name its cell.
-CELL_BITS = 8
+#: Shingles of a bucket's rows that are compared at once; a row counts as ROW_COST more.
+BLOCK, ROW_COST = 1_000_000, 50
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+STRIP = np.uint64(0xD1B54A32D192ED03)
 
 
-def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct 64-bit hashes of each text's word shingles, ascending.
+def shingle_weights(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct 64-bit hashes of each text's word shingles, ascending, and their weights.
 
     Words are lower-cased and parted by white space. A text of fewer words than a shingle, but not
-    none, has one shingle of all its words; a text without words has none.
+    none, has one shingle of all its words; a text without words has none. A shingle weighs 1, and 1
+    more for each doubling of how often it comes: 1, 2, 2, 3, 3, 3, 3, 4 and so on.
     """
     points, bounds = joined([t.lower() for t in texts])
     points = points[1:]
@@ -38,17 +38,26 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= size:
-            out.append(np.unique(rolled[a : b - size + 1]))
+            found, times = np.unique(rolled[a : b - size + 1], return_counts=True)
+            out.append((found, np.frexp(times.astype(float))[1].astype(np.int64)))
         elif b > a:
             one = np.zeros(1, np.uint64)
             for key in keys[a:b]:
                 one = mix(one * GOLDEN + key)
-            out.append(mix(one + np.uint64(b - a)))
+            out.append((mix(one + np.uint64(b - a)), np.ones(1, np.int64)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out
 
 
+def units(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash for each unit of weight of each shingle: the Jaccard similarity of such sets is the weighted one."""
+    if not len(found) or weight.max() == 1:
+        return found
+    unit = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(found, weight) + unit.astype(np.uint64) * STRIP
+
+
 def _times(n: int) -> np.uint64:
     return np.uint64(n * int(GOLDEN) % 2**64)
 
@@ -78,7 +87,7 @@ def dart_minhash(sets: list[np.ndarray], weights: list[np.ndarray] | None = None
             units = np.ceil(weight).astype(np.int64)
             unit = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
             top = np.minimum(np.repeat(weight, units) - unit, 1.0)
-            strip, owner = np.repeat(element, units) + unit.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), np.repeat(owner, units)
+            strip, owner = np.repeat(element, units) + unit.astype(np.uint64) * STRIP, np.repeat(owner, units)
         strip = mix(strip + _times(seed))
         rank, limit = np.zeros(len(strip)), reach[owner]
         best = np.full(n * k, np.inf)
@@ -114,9 +123,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def _short(full: np.ndarray) -> np.ndarray:
-    """Ascending 64-bit hashes as distinct 32-bit ones."""
-    top = (full >> np.uint64(32)).astype(np.uint32)
-    return top[np.concatenate([[True], top[1:] != top[:-1]])] if len(top) else top
+    """64-bit hashes as distinct 32-bit ones, ascending."""
+    return np.unique((full >> np.uint64(32)).astype(np.uint32))
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -135,9 +143,10 @@ def banding(similarity: float) -> tuple[int, int]:
 def _signed(batches, bands: int = BANDS, rows: int = ROWS):
     for batch in batches:
         for part in text_slices(batch, most=1_000_000):
-            sets = shingle_sets(part["text"].to_pylist())
-            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, band_keys(dart_minhash(sets, k=bands * rows), bands, rows), strict=True)]
-            short = [_short(s) for s in sets]
+            sets, weights = zip(*shingle_weights(part["text"].to_pylist()), strict=True)
+            keys = band_keys(dart_minhash(sets, weights, bands * rows), bands, rows)
+            some = [[] if not len(s) else k.tolist() for s, k in zip(sets, keys, strict=True)]
+            short = [_short(units(s, w)) for s, w in zip(sets, weights, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
             flat = pa.array(np.concatenate(short).view(np.int32) if short else np.zeros(0, np.int32), pa.int32())
             cols = [part["uid"], part["id"], part["digest"], pa.array(some, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
@@ -145,14 +154,18 @@ def _signed(batches, bands: int = BANDS, rows: int = ROWS):
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """uid, id, digest of the text, band keys and 32-bit shingle hashes of every row."""
+    """uid, id, digest of the text, band keys and 32-bit hashes of the weighted shingles of every row."""
     bands, rows = banding(similarity)
-    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("digest"), text_or_empty(text_col).alias("text"))
-    return own.mapInArrow(lambda batches: _signed(batches, bands, rows), "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), _digest(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
+    return own.mapInArrow(trimmed(lambda batches: _signed(batches, bands, rows)), "uid long, id long, digest binary, keys array<bigint>, shingles array<int>")
+
+
+def _digest(text_col: str):
+    return F.unhex(F.md5(text_or_empty(text_col)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (uid, shingles) have at least this Jaccard similarity."""
+    """The pairs (a, b) whose shingles (uid, shingles) have at least this weighted Jaccard similarity."""
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
     na, nb = F.size("sa"), F.size("sb")
@@ -174,36 +187,62 @@ def components(edges: DataFrame) -> DataFrame:
         spread = stored(now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
         then = stored(spread.join(jump, "label").select("node", "old", F.col("far").alias("label")), "labels")
-        if then.where("old != label").isEmpty():
+        still = then.where("old != label").isEmpty()
+        forget(now, spread)
+        if still:
+            forget(ways)
             return then.select("node", "label")
-        now = then.select("node", "label")
+        now = then
+
+
+def candidates(sets: list[np.ndarray], ask: np.ndarray, similarity: float):
+    """For each asking row, the rows that may reach the similarity with it: an exact prefix filter.
+
+    Shingles are put in an order, the rarest of these rows first. Two sets of similarity s share one
+    of the first n - ceil(s * n) + 1 shingles of each (n: its size), so an index over those finds all.
+    """
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(times, kind="stable")] = np.arange(len(times))
+    code = place[code]
+    order = np.lexsort((code, row))
+    code = code[order]
+    first = np.cumsum(sizes) - sizes
+    ahead = np.arange(len(code)) - first[row] < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[row]
+    code, row = code[ahead], row[ahead]
+    other = ~ask[row]
+    by_code = np.lexsort((row[other], code[other]))
+    listed, owner = code[other][by_code], row[other][by_code]
+    begin, end = np.searchsorted(listed, code, "left"), np.searchsorted(listed, code, "right")
+    bounds = np.searchsorted(row, np.arange(len(sets) + 1))
+    for n in np.flatnonzero(ask):
+        spans = [owner[a:b] for a, b in zip(begin[bounds[n] : bounds[n + 1]], end[bounds[n] : bounds[n + 1]], strict=True) if b > a]
+        yield n, np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
 
 
 def _compare(similarity: float):
     """Compares the asking rows of each group with its other rows of other components.
 
     A pair is taken in the first band only whose key it shares; there one of the two is outside, and
-    asks. The least numbers of shingles in each cell of the hash space bound what two rows have in
-    common; pairs that can reach the similarity by this are verified, the likeliest first, until a
-    row is linked to the other's component.
+    asks. Candidates that can reach the similarity by their sizes are verified until a row is linked
+    to the other's component.
     """
 
     def links_of(rows):
-        ask = [n for n, r in enumerate(rows) if r[1]]
-        if not ask:
+        ask = np.array([r[1] for r in rows], bool)
+        if not ask.any() or ask.all():
             return
         own, keys, sets = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[5] for r in rows]
         sizes = np.array([len(s) for s in sets])
-        cells = np.array([np.bincount(s >> np.uint32(32 - CELL_BITS), minlength=1 << CELL_BITS) for s in sets], np.int32)
-        for n in ask:
+        for n, near in candidates(sets, ask, similarity):
             band, _, uid, comp, _, mine = rows[n]
-            first = (keys == keys[n]).argmax(axis=1)
-            near = np.flatnonzero((own != comp) & (first == band) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine))))
-            most = np.minimum(cells[near], cells[n]).sum(axis=1)
-            alike = most / (sizes[near] + len(mine) - most)
-            fits = most >= similarity * (sizes[near] + len(mine) - most)
+            fits = (own[near] != comp) & (np.minimum(sizes[near], len(mine)) >= similarity * np.maximum(sizes[near], len(mine)))
+            near = near[fits]
+            near = near[(keys[near] == keys[n]).argmax(axis=1) == band]
             met = set()
-            for j in near[fits][np.argsort(-alike[fits], kind="stable")]:
+            for j in near:
                 if own[j] not in met:
                     common = len(np.intersect1d(mine, sets[j], assume_unique=True))
                     if common >= similarity * (len(mine) + len(sets[j]) - common):
@@ -237,33 +276,39 @@ def links(signed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK)
 
     Of rows of equal text one stands for all. In each bucket every row is first paired with the
     bucket's least row, so a bucket of m rows gives m - 1 pairs. Rows that this leaves outside their
-    bucket's component, the few that only another member resembles, are then compared with the rows
-    of the bucket's other components, in blocks of bounded size, and only links come out. So no link
-    between two components is missed, and the rows of a component are not paired among themselves.
+    bucket's component, the few that only another member resembles, are then looked up among the rows
+    of the bucket's other components: in blocks of bounded size, by an index over their rarest
+    shingles, so that unlike rows never meet. Only links come out. So no link between two components
+    is missed, and the rows of a component are not paired among themselves.
     """
     ones = signed.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid")
-    stand = stored(signed.join(ones, "uid", "left_semi").select("uid", F.posexplode("keys").alias("band", "key")), "bands")
+    stand = stored(signed.join(ones, "uid", "left_semi").select("uid", (F.size("shingles") + ROW_COST).alias("cost"), F.posexplode("keys").alias("band", "key")), "bands")
     hubs = stand.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = stored(stand.join(hubs, "key"), "members")
+    forget(stand)
     pairs = members.where("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
     first = stored(verified(pairs, signed.select("uid", "shingles"), similarity), "links")
     label = components(first)
     placed = members.where("n > 2").join(label.select(F.col("node").alias("uid"), F.col("label").alias("own")), "uid", "left")
     placed = placed.join(label.select(F.col("node").alias("hub"), F.col("label").alias("main")), "hub", "left")
-    placed = stored(placed.select("key", "band", "n", "uid", F.coalesce("own", "uid").alias("own"), (F.coalesce("own", "uid") != F.coalesce("main", "hub")).alias("outside")), "placed")
-    asked = placed.where("outside").groupBy("key").agg(F.count("*").alias("m"))
-    near = placed.join(asked, "key").withColumns({"nx": F.ceil(F.col("m") / block).cast("int"), "ny": F.ceil(F.col("n") / block).cast("int")})
+    placed = stored(placed.select("key", "band", "cost", "uid", F.coalesce("own", "uid").alias("own"), (F.coalesce("own", "uid") != F.coalesce("main", "hub")).alias("outside")), "placed")
+    forget(members)
+    parts = lambda cost: F.ceil(cost / block).cast("int")
+    asked = placed.groupBy("key").agg(parts(F.sum(F.when(F.col("outside"), F.col("cost")))).alias("nx"), parts(F.sum("cost")).alias("ny")).where("nx > 0")
+    near = placed.join(asked, "key")
     spot = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = near.where("outside").select("key", "band", "uid", "own", F.lit(True).alias("ask"), spot("nx").alias("bx"), every("ny").alias("by"))
     others = near.select("key", "band", "uid", "own", F.lit(False).alias("ask"), every("nx").alias("bx"), spot("ny").alias("by"))
     full = asking.unionByName(others).join(signed.select("uid", "keys", "shingles"), "uid")
-    second = full.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(_compare(similarity), "a long, b long")
-    return stored(first.unionByName(second), "links")
+    second = full.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(trimmed(_compare(similarity)), "a long, b long")
+    out = stored(first.unionByName(second), "links")
+    forget(first, placed)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: uid, id, class_id (its least id), class_size, kept.
+    """One row per input row: uid, id, digest, class_id (its least id), class_size, kept.
 
     Classes are the connected components of rows of equal text or of verified similarity. Null
     texts count as empty; empty texts are equal to each other, texts without words to nothing else.
@@ -271,24 +316,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     the first place. No rows give no rows; further columns are not read.
     """
     signed = stored(signatures(docs, id_col, text_col, similarity), "signed")
-    label = components(links(signed, similarity))
+    joined_by = links(signed, similarity)
+    label = components(joined_by)
     one = signed.groupBy("digest").agg(F.min("uid").alias("stand"))
     named = one.join(label.select(F.col("node").alias("stand"), "label"), "stand", "left").select("digest", F.coalesce("label", "stand").alias("class"))
-    rows = stored(signed.select("uid", "id", "digest").join(named, "digest").drop("digest"), "classes")
+    rows = stored(signed.select("uid", "id", "digest").join(named, "digest"), "classes")
+    forget(signed, joined_by)
     heads = rows.groupBy("class").agg(F.count("*").alias("class_size"), F.min("id").alias("class_id"))
     first = rows.join(heads, "class").where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("uid").alias("head"))
-    return rows.join(heads.join(first, "class"), "class").select("uid", "id", "class_id", "class_size", (F.col("uid") == F.col("head")).alias("kept"))
+    return rows.join(heads.join(first, "class"), "class").select("uid", "id", "digest", "class_id", "class_size", (F.col("uid") == F.col("head")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class, columns unchanged.
+    """docs with exactly one row of each class, columns unchanged whatever their names.
 
-    Rows are told apart by their ids: of rows that repeat an id all stay if one does, and rows
-    without id stay.
+    The row that stays has the least id (null last). Of rows equal in id and text any one may stay.
+    Null texts count as empty, all empty texts are one class, no rows give no rows.
     """
-    found = classes(docs, id_col, text_col, similarity).groupBy("id").agg(F.max("kept").alias("kept"))
-    gone = found.where("not kept").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return keep_marked(docs, classes(docs, id_col, text_col, similarity), id_col, text_col, _digest(text_col))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

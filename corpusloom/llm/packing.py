@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bin_plan import best_plan
-from corpusloom.llm.shared import stored, table, text_or_empty, text_slices
+from corpusloom.llm.shared import stored, table, text_or_empty, text_slices, trimmed
 
 CAPACITY = 4096
 END_ID = 1
@@ -114,7 +114,7 @@ def _pieces_of(folder: str | None, capacity: int):
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
     """Every document's ids, an end id after them, cut into pieces of at most capacity ids."""
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return own.mapInArrow(_pieces_of(folder, capacity), PIECES)
+    return own.mapInArrow(trimmed(_pieces_of(folder, capacity)), PIECES)
 
 
 def _slots(classes: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:

@@ -2,64 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import gc
-import re
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on local[n], where it may be unset, one of our own.
-
-    On a cluster there is no folder that we could set: executors would not share it, so that is an error.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    if not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    where = tempfile.mkdtemp(prefix="corpusloom-")
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    sc.setCheckpointDir(where)
-    return where
-
-
-_WRITTEN: list[str] = []
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in tables:
-        if df.stored_at in _WRITTEN:
-            _WRITTEN.remove(df.stored_at)
-            _delete(df.sparkSession, df.stored_at)
+from corpusloom.sources.staging import drop_stored, forget, shared_dir, stored, stored_count  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,19 +33,34 @@ def text_slices(batch, column: str = "text", most: int = 4_000_000):
         begin = end
 
 
-def stored_count() -> int:
-    """How many stored tables there are: a mark for drop_stored."""
-    return len(_WRITTEN)
-
+def keep_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """The rows of docs that marks (id, digest, kept; a row for each of docs) keep, columns unchanged.
 
-def drop_stored(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
-    """Deletes the tables stored after a mark, but one; results that still read them are lost. Returns how many."""
-    kept = getattr(but, "stored_at", None)
-    gone = [path for path in _WRITTEN[since:] if path != kept]
-    for path in gone:
-        _WRITTEN.remove(path)
-        _delete(spark, path)
-    return len(gone)
+    Rows are told apart by id, null or not, and by the digest of their text. Of several rows equal in
+    both one stays if a mark keeps one.
+    """
+    keys = stored(marks.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "marks")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), digest.alias("d"), F.char_length(text_or_empty(text_col)).alias("size"))
+    same = lambda t: F.col("i").eqNullSafe(t["id"]) & (F.col("d") == t["digest"])
+    gone, again = keys.where(~F.col("kept")), keys.where(F.col("kept") & (F.col("times") > 1))
+    rest = own.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return rest.select("row.*")
+    once = rest.join(again, same(again), "left_anti")
+    more = rest.join(again, same(again), "left_semi").groupBy("i", "d").agg(F.max_by("row", "size").alias("row"))
+    return once.select("row.*").unionByName(more.select("row.*"))
+
+
+def trimmed(run):
+    """A function of Arrow batches that, when a task ends, gives the worker's freed memory back to the machine."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def release(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.automaton import SuffixAutomaton
 from corpusloom.llm.codepoints import joined, mix, word_keys
-from corpusloom.llm.shared import release, stored, table, text_or_empty, text_slices
+from corpusloom.llm.shared import release, stored, table, text_or_empty, text_slices, trimmed
 
 WINDOW, GRAM = 20, 6
 #: Anchors with more different spans than this are settled window by window, by aggregation.
@@ -264,7 +264,7 @@ def _runs(out: list) -> pa.RecordBatch:
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, at, n: runs of n windows from place at that also start earlier. docs: key, id, text."""
-    sent = docs.mapInArrow(_local(window), FOUND)
+    sent = docs.mapInArrow(trimmed(_local(window)), FOUND)
     spread = sent.repartition("anchor").sortWithinPartitions("anchor", "span", "id", "at")
     found = stored(spread.mapInArrow(_settle, FOUND), "spans")
     release(docs.sparkSession)

@@ -47,8 +47,11 @@ def test_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == brute(rows, bench)
     docs, tests = spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, BENCH)
     clean = decontaminate.clean_documents(docs, tests)
-    bad = {r[0] for r in brute(rows, bench) if r[5]} - {None}
-    assert clean.columns == docs.columns and sorted(r.doc_id or -1 for r in clean.collect()) == sorted(r[0] or -1 for r in rows if r[0] not in bad or r[0] is None)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == sorted((r[0] or -1, r[1] or "") for r in rows if not brute([r], bench)[0][5])
+    slow = decontaminate.overlap(docs, tests, most_bytes=0)  # above the limit: joined by hash
+    fast = decontaminate.overlap(docs, tests)
+    assert sorted(map(tuple, slow.collect()), key=repr) == sorted(map(tuple, fast.collect()), key=repr)
     spans = {r.doc_id: len(r.clean_text.split()) for r in decontaminate.clean_spans(docs, tests).collect() if r.doc_id is not None}
     assert all(spans[r[0]] == r[1] - r[2] for r in brute(rows, bench) if r[0] is not None)
 
@@ -58,3 +61,13 @@ def test_empty_tables(spark):
     assert [r.n_hit for r in decontaminate.overlap(docs, none).collect()] == [0]
     assert decontaminate.overlap(docs.limit(0), none).count() == 0
     assert decontaminate.clean_documents(docs, none).count() == 1
+    assert decontaminate.clean_spans(docs, none).collect()[0].clean_text == "a b"
+    assert [r.n_hit for r in decontaminate.overlap(docs, none, most_bytes=-1).collect()] == [0]
+
+
+def test_rows_are_told_apart_by_text(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(12)), "")], BENCH)
+    bad = " ".join(f"w{k}" for k in range(11))
+    rows = [(7, bad, "", "", ""), (7, "clean words", "", "", ""), (None, bad, "", "", ""), (None, None, "", "", ""), (8, bad, "", "", "")]
+    clean = decontaminate.clean_documents(spark.createDataFrame(rows, DOCS), bench)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, ""), (7, "clean words")]

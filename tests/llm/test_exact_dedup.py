@@ -34,6 +34,19 @@ def test_repeated_rows_leave_one(spark):
     assert exact_dedup.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_small_indexes_lose_nothing(spark):
+    rows = [(i % 50, f"text {i % 37}", "", "", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    marks = exact_dedup.digests(docs)
+    whole = {tuple(r)[:3] + (r.best_id,) for r in exact_dedup.live_index(marks).collect()}
+    assert len(whole) == 37 and {tuple(r)[:3] + (r.best_id,) for r in exact_dedup.live_index(marks, 3).collect()} == whole
+
+
+def test_rows_equal_in_id_keep_the_longest(spark):
+    rows = [(1, "a b", "", "", ""), (1, "a  b", "", "", ""), (None, "q", "", "", ""), (None, "q", "", "", "")]
+    assert sorted(r.text for r in exact_dedup.drop_copies(spark.createDataFrame(rows, DOCS)).collect()) == ["a  b", "q"]
+
+
 def test_cuckoo_index():
     import hashlib
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,8 +11,10 @@ DOCS = "doc_id long, text string, uid string, id string, digest string, keys str
 
 
 def shingles(text):
+    """The units of weight of each shingle: one, and one more for each doubling of its count."""
     w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    times = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter({tuple(w)} - {()})
+    return {(x, unit) for x, n in times.items() for unit in range(n.bit_length())}
 
 
 def brute(rows):
@@ -55,12 +58,14 @@ def corpus(seed=1):
         for _ in range(rnd.randint(1, 4)):
             copy[rnd.randrange(len(copy))] = word()
         texts.append(" ".join(copy))
+    base, again = [word() for _ in range(40)], [word() for _ in range(8)]
+    texts += [" ".join(base + again * n) for n in (2, 3, 5, 9, 17, 33, 65)]  # equal sets of shingles, unlike counts
     texts += ["", None, " ", "one two", "one two", "One two", "a b c d", "x " * 3000, "x " * 3000, "x\n" * 2999]
     rnd.shuffle(texts)
     return [(i, t, "z", "z", "z", "z") for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 4096), (2, 3)])
+@pytest.mark.parametrize("seed, block", [(1, near_dup.BLOCK), (2, 3000)])
 def test_classes_are_the_components(spark, monkeypatch, seed, block):
     monkeypatch.setattr(near_dup.links, "__defaults__", (near_dup.SIMILARITY, block))
     rows = corpus(seed)
@@ -80,7 +85,25 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r.id or 0, r.class_id, r.class_size) for r in got) == [(0, 1, 4), (1, 1, 4), (1, 1, 4), (1, 1, 4), (2, 2, 1)]
     assert sum(r.kept for r in got) == 2
     assert near_dup.classes(spark.createDataFrame([], DOCS)).count() == 0
-    assert near_dup.drop_near(spark.createDataFrame(rows, DOCS)).count() == 5
+    kept = near_dup.drop_near(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert near_dup.drop_near(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e f g", True, 3, 4)], "doc_id long, text string, kept boolean, i int, row int")
+    assert near_dup.drop_near(clash).collect() == clash.collect()
+
+
+def test_candidates_lose_no_pair():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**32, 60, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[: rnd.integers(20, 61)], rnd.integers(0, 2**32, rnd.integers(0, 25), dtype=np.uint32)])) for _ in range(150)]
+    ask = rnd.random(150) < 0.5
+    for t in (0.5, 0.8, 1.0):
+        found = {n: set(near.tolist()) for n, near in near_dup.candidates(sets, ask, t)}
+        for n in np.flatnonzero(ask):
+            want = {j for j in np.flatnonzero(~ask) if len(np.intersect1d(sets[n], sets[j])) >= t * len(np.union1d(sets[n], sets[j]))}
+            assert want <= found[n]
+    unlike = [np.concatenate([base, rnd.integers(0, 2**32, 40, dtype=np.uint32)]) for _ in range(100)]
+    assert all(not len(near) for _, near in near_dup.candidates(unlike, np.arange(100) < 50, 0.8))
 
 
 def test_signatures_estimate_weighted_similarity():
