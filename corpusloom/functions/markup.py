@@ -85,3 +85,13 @@ def folded(column):
         return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
     return run(column)
+
+
+def compatible(column):
+    """NFKC, in lower case, single spaces within each line."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "\n".join(" ".join(unicodedata.normalize("NFKC", x).lower().split()) for x in t.splitlines()))
+
+    return run(column)

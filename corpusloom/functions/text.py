@@ -46,6 +46,16 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def runs(tokens: Column, size: int) -> Column:
+    """All runs of `size` tokens as arrays; empty if there are fewer tokens."""
+
+    def each(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.slice(w, i, size))
+        return F.when(F.size(w) >= size, found).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(tokens, each)
+
+
 def ngrams(tokens: Column, size: int, separator: str = SEPARATOR) -> Column:
     """All runs of `size` tokens, joined; empty if there are fewer tokens."""
 

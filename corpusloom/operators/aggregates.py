@@ -103,3 +103,17 @@ def log_metrics(lines: DataFrame, order: str, text: str) -> DataFrame:
     pairs = F.regexp_extract_all(text, F.lit(r"([A-Za-z_]+)\s*[:=]\s*(-?\d+(?:\.\d+)?(?:e-?\d+)?)"), F.lit(0))
     each = own.where(step != "").select(step.cast("long").alias("step"), F.explode(pairs).alias("p"))
     return each.select("step", F.regexp_extract("p", r"^([A-Za-z_]+)", 1).alias("name"), F.regexp_extract("p", r"(-?[\d.]+(?:e-?\d+)?)$", 1).cast("double").alias("value"))
+
+
+def profile(rows: DataFrame, checks: dict[str, Column], *by: str) -> DataFrame:
+    """Rows of each group, and how many of them each named condition holds for."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
+
+
+def within_budgets(rows: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
+    """Of each domain: rows and sizes up to a budget, in the order of a hex key, and what there is in all."""
+    from corpusloom.operators.sampling import running_total
+
+    total = running_total(rows, [by], order, size, "__total")
+    inside = F.col("__total") <= budget
+    return total.groupBy(by).agg(F.count_if(inside).alias("n_rows"), F.coalesce(F.sum(F.when(inside, F.col(size))), F.lit(0)).alias("used"), F.sum(size).alias("available"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from corpusloom.functions import text as T
 ROLE_ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDER = r"(?i)\[(?:insert|placeholder|todo|your\s+[^\]]+)\]|\b(?:TODO|TBD|FIXME)\b|<\s*(?:question|answer|instruction)\s*>"
-UNFINISHED = r"(?:[:,\-])\s*$"
+UNFINISHED = r"(?:[:：]|[,，]|[-—])\s*$"
 
 
 def role_of(role: Column) -> Column:
@@ -95,42 +97,89 @@ def has_reasoning(messages: Column) -> Column:
     return F.exists(messages, lambda m: m["content"].rlike(r"(?s)<think>(?:(?!</think>).)*?\S(?:(?!</think>).)*</think>"))
 
 
-def replay_score(messages: Column) -> Column:
-    """0 to 15 for a chat worth replaying, null for one that is not."""
+#: Marks of broken text, and how an assistant says what it is or cannot do.
+BROKEN = ["�", "<|im_start|>", "<|im_end|>", "[assistant/analysis]", "[tool/analysis]"]
+DISCLAIMER = r"(?i)as an ai|作为.{0,3}ai|无法访问互联网"
+#: The points of a chat.
+TWO_TURNS, MORE_TURNS, GOOD_SIZE, OTHER_SIZE, NO_DISCLAIMER, WITH_TOOLS = 5, 3, 3, 1, 2, 2
+
+
+def replay_category(messages: Column, fields: tuple[str, ...] = ()) -> Column:
+    """tools, zh_general or other_general. fields: which of tools and tool_calls the messages have."""
+    used = [lambda m, name=name: F.coalesce(m[name] != "", F.lit(False)) for name in fields if name in ("tools", "tool_calls")]
+    tools = F.exists(messages, lambda m: reduce(lambda a, b: a | b(m), used, m["role"] == "tool"))
+    return F.when(tools, "tools").when(visible(messages).rlike("[\u4e00-\u9fff]"), "zh_general").otherwise("other_general")
+
+
+def repeated_line(text: Column, line: int = 30, times: int = 3) -> Column:
+    """Whether a line of at least `line` characters, NFKC, lower case, single spaces, comes `times` times."""
+    from corpusloom.functions.markup import compatible
+
+    return F.coalesce(T.repeats(F.filter(T.lines(compatible(text)), lambda x: F.char_length(x) >= line), times), F.lit(False))
+
+
+def replay_score(messages: Column, fields: tuple[str, ...] = ()) -> Column:
+    """7 to 15 for a chat worth replaying, null for one that is not.
+
+    fields: which of reasoning_content, tools and tool_calls the messages have.
+    """
     n, own, bots = F.size(messages), F.array_join(of_role(messages, "user"), "\n"), F.filter(of_role(messages, "assistant"), lambda c: c != "")
-    last = F.try_element_at(bots, F.lit(-1))
+    last, text = F.try_element_at(bots, F.lit(-1)), visible(messages)
     fits = n.between(2, 8) & F.exists(messages, lambda m: m["role"] == "user") & (F.size(bots) > 0)
     fits = fits & F.forall(messages, lambda m: m["role"].isin("system", "user", "assistant", "tool"))
-    fits = fits & ~T.contains_any(visible(messages), ["�", START, END])
-    fits = fits & F.char_length(own).between(8, 6000) & F.char_length(last).between(2, 8000) & (T.collapse(F.lower(own)) != T.collapse(F.lower(last)))
+    if "reasoning_content" in fields:
+        fits = fits & F.forall(messages, lambda m: T.strip(F.coalesce(m["reasoning_content"], F.lit(""))) == "")
+    fits = fits & ~T.contains_any(text, BROKEN) & ~repeated_line(text)
+    fits = fits & F.char_length(own).between(8, 6000) & F.char_length(last).between(2, 8000) & (T.strip(own) != "") & (T.collapse(F.lower(own)) != T.collapse(F.lower(last)))
     score = (
-        F.when(n == 2, 5).otherwise(3)
-        + F.when(F.char_length(own).between(20, 1500), 3).otherwise(1)
-        + F.when(F.char_length(last).between(20, 2000), 3).otherwise(1)
-        + F.when(~F.lower(last).contains("as an ai"), 2).otherwise(0)
-        + F.when(F.exists(messages, lambda m: m["role"] == "tool"), 2).otherwise(0)
+        F.when(n == 2, TWO_TURNS).otherwise(MORE_TURNS)
+        + F.when(F.char_length(own).between(20, 1500), GOOD_SIZE).otherwise(OTHER_SIZE)
+        + F.when(F.char_length(last).between(20, 2000), GOOD_SIZE).otherwise(OTHER_SIZE)
+        + F.when(~last.rlike(DISCLAIMER), NO_DISCLAIMER).otherwise(0)
+        + F.when(replay_category(messages, fields) == "tools", WITH_TOOLS).otherwise(0)
     )
     return F.when(fits, score)
 
 
-def chat_reasons(messages: Column, oversized: int = 20_000) -> Column:
-    """Names of all that is odd about a chat; candidates for review, not drops."""
+#: Questions about who the assistant is, and words by which it speaks of itself.
+IDENTITY_QUESTION = r"(?i)你是谁|你的(?:真实)?(?:身份|模型|来源|开发者|创建者|开发团队)|自我介绍|who are you|what model are you|your (?:model|identity|creator|developer)|who (?:created|developed) you"
+SELF_REFERENCE = r"(?i)我是|我的模型|我由|我来自|我基于|我属于|我的开发|我的创建者|开发团队是|开发者是|由.{0,24}(开发|训练|推出|发布)|i\s+am|i'm|my\s+(model|creator|developer|team)|developed\s+by|created\s+by|trained\s+by|based\s+on"
+
+
+def chat_reasons(messages: Column, names: list[str] | None = None, question: Column | None = None, oversized: int = 20_000) -> Column:
+    """Names of all that is odd about a chat; candidates for review, not drops.
+
+    names are the other models and makers whose mention beside a word of self-reference, or right after
+    a question about identity, is looked for. question is the prompt field of rows that are no chats:
+    there the rules on messages give way to one on an empty question.
+    """
     from corpusloom.operators.filters import all_reasons
 
     users = F.transform(of_role(messages, "user"), T.strip)
     bots = F.transform(of_role(messages, "assistant"), T.strip)
     keys = F.transform(F.filter(users, lambda u: u != ""), lambda u: T.collapse(F.lower(u)))
     last = F.when(F.size(users) > 0, F.try_element_at(users, F.lit(-1)))
+    chat = F.lit(True) if question is None else question.isNull()
+    claim, asked = F.lit(False), F.lit(False)
+    if names:
+        brand = "(?i)" + "|".join(names)
+        claim = F.exists(bots, lambda t: t.rlike(brand) & t.rlike(SELF_REFERENCE))
+        n = F.greatest(F.size(messages) - 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice(messages, 1, n).alias("a"), F.slice(messages, 2, n).alias("b"))
+        asked = ~claim & F.exists(pairs, lambda p: (p["a"]["role"] == "user") & (p["b"]["role"] == "assistant") & p["a"]["content"].rlike(IDENTITY_QUESTION) & p["b"]["content"].rlike(brand))
     return all_reasons(
-        ("missing_user_message", F.size(users) == 0),
-        ("missing_assistant_message", F.size(bots) == 0),
-        ("empty_user_message", F.exists(users, lambda u: u == "")),
-        ("empty_assistant_message", F.exists(bots, lambda u: u == "")),
+        ("possible_foreign_model_identity", claim),
+        ("identity_question_mentions_foreign_model", asked),
+        ("missing_user_message", chat & (F.size(users) == 0)),
+        ("missing_assistant_message", chat & (F.size(bots) == 0)),
+        ("empty_user_message", chat & F.exists(users, lambda u: u == "")),
+        ("empty_assistant_message", chat & F.exists(bots, lambda u: u == "")),
+        ("empty_question", ~chat & (T.strip(question) == "") if question is not None else F.lit(False)),
         ("oversized_question", F.exists(users, lambda u: F.char_length(u) > oversized)),
         ("possibly_incomplete_question", (F.char_length(last) >= 8) & last.rlike(UNFINISHED)),
         ("placeholder_or_template", F.exists(messages, lambda m: m["content"].rlike(PLACEHOLDER))),
         ("duplicate_user_turn", F.size(F.array_distinct(keys)) < F.size(keys)),
-        ("invalid_conversation_structure", F.size(messages) == 0),
+        ("invalid_conversation_structure", chat & (F.size(messages) == 0)),
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import code as K
 from corpusloom.functions import text as T
 
 #: Texts with these, in any case, are not clean.
@@ -27,12 +28,31 @@ def all_reasons(*rules: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]), lambda r: r.isNotNull())
 
 
+def repeats_a_line(text: Column, line: int, times: int) -> Column:
+    """Whether a line of at least `line` characters, in lower case and with single spaces, comes `times` times.
+
+    Lower-casing makes a character three at most, so shorter lines are left out before the dear steps.
+    """
+    long = F.filter(T.lines(text), lambda x: F.char_length(x) * 3 >= line)
+
+    def met(some: Column) -> Column:
+        plain = F.filter(F.transform(some, lambda x: T.collapse(F.lower(x))), lambda x: F.char_length(x) >= line)
+        return F.when(F.size(some) >= times, T.repeats(plain, times)).otherwise(F.lit(False))
+
+    return F.when(F.char_length(text) * 3 >= line * times, T.let(long, met)).otherwise(F.lit(False))
+
+
 def clean_text(text: Column, least: int = 200, most: int = 200_000, line: int = 80, times: int = 4, markers: list[str] | None = None) -> Column:
-    """Of fitting length, without bad markers or controls, and no long line too often."""
-    low = F.lower(text)
-    long_lines = F.filter(F.transform(T.lines(text), lambda x: T.collapse(F.lower(x))), lambda x: F.char_length(x) >= line)
-    ok = F.char_length(text).between(least, most) & ~T.contains_any(low, [m.lower() for m in markers or BAD_MARKERS]) & ~T.has_controls(text)
-    return F.coalesce(ok & ~T.repeats(long_lines, times), F.lit(False))
+    """Of fitting length, without bad markers or controls, and no long line too often. Cheap tests come first."""
+    marked = T.let(F.lower(text), lambda low: T.contains_any(low, [m.lower() for m in markers or BAD_MARKERS]))
+    fits = F.coalesce(F.char_length(text).between(least, most), F.lit(False))
+    return F.when(fits, F.when(T.has_controls(text) | marked, F.lit(False)).otherwise(~repeats_a_line(text, line, times))).otherwise(F.lit(False))
+
+
+def strict_text(text: Column, least: int, most: int) -> Column:
+    """The variant of fewer rules: stripped length, no bad marker, and no control character at all."""
+    size = F.char_length(T.strip(text))
+    return F.coalesce((size >= least) & (F.char_length(text) <= most) & ~T.contains_any(F.lower(text), [m.lower() for m in BAD_MARKERS]) & ~T.has_controls(text), F.lit(False))
 
 
 def clean_article(text: Column) -> Column:
@@ -40,8 +60,8 @@ def clean_article(text: Column) -> Column:
     return clean_text(text, 100, 50_000, 50, 3, BAD_MARKERS + MOJIBAKE)
 
 
-def code_record_reason(task: Column, analysis: Column, solution: Column, test: Column, full: Column) -> Column:
-    """Why a structured code record is dropped."""
+def code_record_reason(task: Column, analysis: Column, solution: Column, test: Column, full: Column, python: bool = False) -> Column:
+    """Why a structured code record is dropped. Python solutions must parse and do more than raise NotImplementedError."""
     named = {"task": task, "analysis": analysis, "solution": solution, "test": test, "full_content": full}
     short = [(f"missing_or_short_{k}", F.char_length(T.strip(F.coalesce(c, F.lit("")))) < 40) for k, c in named.items()]
     unfinished = r"(?im)^\s*(?://|#|/\*)\s*(?:YOUR_CODE_HERE|IMPLEMENT_ME|\[(?:insert\s+|placeholder\b)[^\]]*\])"
@@ -50,6 +70,19 @@ def code_record_reason(task: Column, analysis: Column, solution: Column, test: C
         ("encoding_corruption", T.contains_any(full, ["\x00", "�"])),
         ("embedded_control_token", full.rlike(CONTROL_TOKEN)),
         ("unresolved_implementation_placeholder", solution.rlike(unfinished)),
+        *((("python_solution_syntax", ~K.over(solution, K.parses, "boolean")), ("python_unimplemented_function", K.over(solution, K.only_raises, "boolean"))) if python else ()),
+    )
+
+
+def accepted_component(language: Column, score: Column, vendored: Column, generated: Column, allowed: list[str] | None = None, denied: tuple[str, ...] = (), least: float = 0.0) -> Column:
+    """Why a row of a component is not taken: its language, its score, or that it is not the repository's own; else null."""
+    low = F.lower(F.coalesce(language, F.lit("")))
+    return first_reason(
+        ("language_denied", low.isin(*[d.lower() for d in denied]) if denied else F.lit(False)),
+        ("language_not_allowed", ~low.isin(*[a.lower() for a in allowed]) if allowed else F.lit(False)),
+        ("score_below_threshold", ~F.coalesce(score.try_cast("double") >= least, F.lit(False))),
+        ("vendored_code", vendored),
+        ("generated_code", generated),
     )
 
 
@@ -110,11 +143,18 @@ def train_only(splits: Column) -> Column:
     return (F.size(splits) > 0) & F.forall(splits, lambda s: F.lower(T.strip(s)) == "train")
 
 
+#: Words that only broken text has, Latin words run into CJK ones, and names where that is usual.
+BROKEN_WORDS = ["usuario", "uptake外", "郁strong", "天numer", "<unk>"]
+MIXED = r"[A-Za-z]{4,}[\u3400-\u9fff]|[\u3400-\u9fff][A-Za-z]{4,}"
+MIXED_ALLOWED = r"(?i)(?:Python|JavaScript|TypeScript|Java|Linux|Windows|Android|iOS|API|JSON|HTML|CSS|SQL|GitHub|App|ChatGPT|OpenAI|Transformer|Token|Web|HTTP|HTTPS|VPN|JVM|GUI|Hadoop|Spark)[\u3400-\u9fff]"
+
+
 def bad_visible_text(text: Column) -> Column:
-    """Blank, broken or strongly repetitive text."""
+    """Blank, broken, mixed or strongly repetitive text."""
     own = F.regexp_extract_all(F.lower(text), F.lit(r"[A-Za-z\u3400-\u9FFF]+"), F.lit(0))
     dull = T.let(own, lambda w: F.when(F.size(w) >= 60, T.distinct_ratio(T.ngrams(w, 5)) < 0.82).otherwise(F.lit(False)))
-    return F.coalesce((T.strip(text) == "") | T.contains_any(text, ["�", "\x00"]) | dull, F.lit(True))
+    mixed = F.regexp_count(text, F.lit(MIXED)) - F.regexp_count(text, F.lit(MIXED_ALLOWED)) >= 2
+    return F.coalesce((T.strip(text) == "") | T.contains_any(text, ["�", "\x00"]) | T.contains_any(F.lower(text), BROKEN_WORDS) | mixed | dull, F.lit(True))
 
 
 def topic_rows(text: Column, strict: list[str], ambiguous: list[str]) -> Column:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-#: Tables of more rows than this are never broadcast by the operators here.
-BROADCAST_ROWS = 1_000_000
+#: Sides of more bytes than this are never broadcast by the operators here.
+BROADCAST_BYTES = 32_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; otherwise Spark joins it by its key."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits(df: DataFrame, *columns: str, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df, by the bytes of its text columns and 64 for each row, is small enough to broadcast.
+
+    One aggregation over df; only for sides that are much smaller than what they are joined with.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
 def exclude(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
@@ -21,6 +25,13 @@ def exclude(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return rows.join(prior.select(key).distinct(), key, "left_anti")
 
 
+def replayed(rows: DataFrame, prior: DataFrame, key: str, source: str) -> DataFrame:
+    """Per source: rows, and how many of them a prior corpus has already."""
+    old = prior.select(key).distinct().withColumn("__old", F.lit(True))
+    marked = rows.select(key, source).join(old, key, "left")
+    return marked.groupBy(source).agg(F.count("*").alias("n_rows"), F.count("__old").alias("n_replayed"))
+
+
 def exclusion_index(*corpora: DataFrame, key: str) -> DataFrame:
     """The distinct keys of several corpora."""
     out = corpora[0].select(key)
@@ -29,11 +40,41 @@ def exclusion_index(*corpora: DataFrame, key: str) -> DataFrame:
     return out.distinct()
 
 
+def benchmark_grams(bench: DataFrame, text: Column, size: int, tokens=T.words) -> DataFrame:
+    """Distinct runs of `size` words of the benchmark: gram, its hash, and an anchor to find it by.
+
+    The anchor is the hash of the run's word that fewest runs have, `place` its number in the run, from 0.
+    """
+    runs = bench.select(F.explode(T.runs(tokens(text), size)).alias("run")).distinct()
+    words = runs.select("run", F.posexplode("run").alias("place", "word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("times"))
+    best = words.join(rare, "word").groupBy("run").agg(F.min(F.struct("times", "word", "place")).alias("best"))
+    return best.select(F.array_join("run", T.SEPARATOR).alias("gram"), F.xxhash64("run").alias("hash"), F.xxhash64("best.word").alias("anchor"), F.col("best.place").alias("place"))
+
+
+def gram_hits(rows: DataFrame, row_id: str, text: Column, grams: DataFrame, size: int, tokens=T.words, most: int = BROADCAST_BYTES) -> DataFrame:
+    """row_id and gram for every place where a text holds one of the grams.
+
+    A set that is small enough is looked up where the text is read: a word that is some gram's anchor
+    has the run around it hashed and compared. A larger set is joined by the runs' hashes; the words
+    of a run travel with it only then, and are compared too.
+    """
+    own = rows.select(row_id, tokens(text).alias("w"))
+    if fits(grams, "gram", most=most):
+        each = own.select(row_id, "w", F.posexplode("w").alias("at", "word"))
+        start = F.col("at") - F.col("place") + 1
+        run = F.slice("w", start, size)
+        real = F.when((start >= 1) & (start + size - 1 <= F.size("w")), (F.xxhash64(run) == F.col("hash")) & (F.array_join(run, T.SEPARATOR) == F.col("gram"))).otherwise(F.lit(False))
+        return each.join(F.broadcast(grams), (F.xxhash64("word") == F.col("anchor")) & real).select(row_id, "gram")
+    each = own.select(row_id, F.explode(T.runs(F.col("w"), size)).alias("run")).select(row_id, F.xxhash64("run").alias("hash"), "run")
+    met = each.join(grams.select("hash", "gram"), "hash")
+    return met.where(F.array_join("run", T.SEPARATOR) == F.col("gram")).select(row_id, "gram")
+
+
 def gram_overlap(rows: DataFrame, row_id: str, text: Column, bench: DataFrame, bench_text: Column, size: int = 13, tokens=T.words) -> DataFrame:
     """Ids of rows that share a run of `size` words with the benchmark texts."""
-    grams = bench.select(F.explode(T.ngrams(tokens(bench_text), size)).alias("gram")).distinct()
-    own = rows.select(row_id, F.explode(F.array_distinct(T.ngrams(tokens(text), size))).alias("gram"))
-    return own.join(small(grams), "gram", "left_semi").select(row_id).distinct()
+    grams = benchmark_grams(bench, bench_text, size, tokens)
+    return gram_hits(rows, row_id, text, grams, size, tokens).select(row_id).distinct()
 
 
 def low_information(gram: Column) -> Column:
@@ -43,10 +84,19 @@ def low_information(gram: Column) -> Column:
 
 def informative_overlap(rows: DataFrame, row_id: str, text: Column, bench: DataFrame, bench_text: Column, size: int = 13, common: int = 3) -> DataFrame:
     """As gram_overlap, but grams of little information or in `common` rows and more don't count."""
-    grams = bench.select(F.explode(T.ngrams(T.words(bench_text), size)).alias("gram")).distinct()
-    own = rows.select(row_id, F.explode(F.array_distinct(T.ngrams(T.words(text), size))).alias("gram")).join(small(grams), "gram", "left_semi")
-    rare = own.where(~low_information(F.col("gram"))).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") < common)
-    return own.join(rare.select("gram"), "gram", "left_semi").select(row_id).distinct()
+    grams = benchmark_grams(bench, bench_text, size).where(~low_information(F.col("gram")))
+    met = gram_hits(rows, row_id, text, grams, size).distinct()
+    rare = met.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") < common)
+    return met.join(rare.select("gram"), "gram", "left_semi").select(row_id).distinct()
+
+
+def prompt_match(rows: DataFrame, row_id: str, text: Column, problems: DataFrame, prompt: Column, names: Column, size: int = 30) -> DataFrame:
+    """row_id and why (prompt or name): a run of `size` words of a problem's prompt, or its name as a word."""
+    by_prompt = gram_overlap(rows, row_id, text, problems, prompt, size).withColumn("why", F.lit("prompt"))
+    named = problems.select(F.explode(names).alias("word")).select(F.lower("word").alias("word")).where("word <> ''").distinct()
+    words = rows.select(row_id, F.explode(F.array_distinct(T.words(text))).alias("word"))
+    by_name = words.join(F.broadcast(named) if fits(named, "word") else named, "word", "left_semi").select(row_id).distinct().withColumn("why", F.lit("name"))
+    return by_prompt.unionByName(by_name).groupBy(row_id).agg(F.max("why").alias("why"))
 
 
 def with_decisions(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
@@ -98,3 +148,23 @@ def first_difference(left: DataFrame, right: DataFrame, key: str, columns: list[
 def leak(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
     """Keys on both sides of a split; a sound split has none."""
     return train.select(key).intersect(held.select(key))
+
+
+def zip_rows(data: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Two tables of the same rows side by side by an explicit row key; an error if a row lacks its partner."""
+    both = data.withColumn("__l", F.lit(True)).join(other.withColumn("__r", F.lit(True)), key, "full_outer")
+    odd = both.where("__l IS NULL OR __r IS NULL").count()
+    if odd:
+        raise ValueError(f"{odd} rows have no partner")
+    return both.drop("__l", "__r")
+
+
+def to_files(index: DataFrame, name: str, files: DataFrame, path: str) -> DataFrame:
+    """Index rows with the file that is named after them, whatever folder it lies in; rows without file are left out."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return index.join(files.withColumn("__stem", stem), F.col(name) == F.col("__stem")).drop("__stem")
+
+
+def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of the asked keys: a semi-join in place of seeking each."""
+    return rows.join(keys.select(key), key, "left_semi")

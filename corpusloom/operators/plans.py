@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources import tables as Z
+
 
 def chunk_plan(sizes: list[int], target: int) -> list[tuple[int, int]]:
     """(first row, end row) of chunks: one closes before the first row that begins at or past its target."""
@@ -46,6 +51,53 @@ def valid_bounds(bounds: list[int], rows: int) -> bool:
     return bool(bounds) and bounds[-1] == rows and all(a < b for a, b in zip([0, *bounds], bounds, strict=False))
 
 
+def plan_key(files: list[tuple[str, int, int]], **settings) -> str:
+    """The identity of a plan: its files (path, size, time of change) and settings; another file is another plan."""
+    return hashlib.sha256(json.dumps([sorted(files), sorted(settings.items())]).encode()).hexdigest()
+
+
+def cached_plan(spark: SparkSession, folder: str, key: str, make) -> list:
+    """The plan kept under a key, or the one that `make` gives, which is then kept: published by one rename."""
+    path = f"{folder}/{key}.json"
+    if not _exists(spark, path):
+        Z.write_report(spark, path, {"plan": make()})
+    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))["plan"]  # a chunk plan, a row for each chunk
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def steps_left(rows: DataFrame, batch: int, cursor: tuple[int, int]) -> DataFrame:
+    """Rows (chunk_index, number in it) that a reader has not taken when it stops at (chunk, step); adds step."""
+    stepped = rows.withColumn("step", F.floor(F.col("number") / batch).cast("int"))
+    chunk, step = cursor
+    return stepped.where((F.col("chunk_index") > chunk) | ((F.col("chunk_index") == chunk) & (F.col("step") >= step)))
+
+
+def may_resume(old: dict, new: dict, free: tuple[str, ...] = ("path",)) -> list[str]:
+    """What forbids going on with another run's state: settings that differ. The same corpus in another
+    container is the same corpus; free settings may differ."""
+    odd = [] if Z.source_key(old["path"]) == Z.source_key(new["path"]) else ["path"]
+    return odd + sorted(k for k in {*old, *new} - {*free, "path"} if old.get(k) != new.get(k))
+
+
+def paused(spark: SparkSession, marker: str) -> bool:
+    """Whether a pause is asked for: a file with this name."""
+    return _exists(spark, marker)
+
+
+def stop_when_paused(query, marker: str, every: float = 1.0) -> bool:
+    """Waits for a streaming query, and stops it between batches when a pause is asked for; True if it was."""
+    while query.isActive:
+        if paused(query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active(), marker):
+            query.stop()
+            return True
+        query.awaitTermination(every)
+    return False
+
+
 def must_stream(footprint: int, budget: int, factor: int = 4) -> bool:
     return footprint * factor > budget
 
@@ -61,6 +113,30 @@ def evict(files: DataFrame, budget: int) -> DataFrame:
     return idle.where(F.coalesce("freed", F.lit(0)) < over).drop("freed")
 
 
+def reserve(files: DataFrame, incoming: int, budget: int) -> DataFrame:
+    """The files to delete so that incoming bytes fit a budget; an error if what may be deleted is not enough."""
+    sums = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("active"), F.col("size"))), F.lit(0)).alias("active")).first()
+    if sums["active"] + incoming > budget:
+        raise ValueError(f"{incoming} bytes don't fit: active files hold {sums['active']} of {budget}")
+    return evict(files, budget - incoming)
+
+
+def cache_path(base: str, **config) -> str:
+    """The place of a derived table: its name is the digest of what it is derived by."""
+    return f"{base}/{hashlib.sha256(json.dumps(sorted(config.items())).encode()).hexdigest()[:32]}"
+
+
+def cached_table(df: DataFrame, path: str) -> DataFrame:
+    """The table at a path, written there if it is not: under another name first, so that it is whole once it is there."""
+    spark = df.sparkSession
+    if not _exists(spark, path):
+        df.write.mode("overwrite").parquet(path + ".part")
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        where = jvm.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(jvm.Path(path + ".part"), where)
+    return spark.read.parquet(path)
+
+
 def quota_allows(used, incoming, total, ratio: float, reserved):
     return used + incoming <= total * ratio - reserved
 
@@ -75,6 +151,13 @@ def uploads(chunks: DataFrame, size: int) -> DataFrame:
     return whole.select("file", "n_parts", "bytes", (F.col("k") > 1).alias("conflict"), ((F.col("bytes") == F.col("total")) & (F.col("n_parts") == F.ceil(F.col("total") / size))).alias("complete"))
 
 
+def best_source(parts: DataFrame, source: str, folder: str, tokens: str) -> DataFrame:
+    """Of each source the folder that holds most of its tokens (ties: the least name), to recover it from."""
+    sums = parts.groupBy(source, folder).agg(F.sum(tokens).alias(tokens))
+    best = sums.groupBy(source).agg(F.max(tokens).alias(tokens))
+    return sums.join(best, [source, tokens]).groupBy(source, tokens).agg(F.min(folder).alias(folder))
+
+
 def audit(rows: DataFrame, checks: dict) -> dict[str, int]:
     """How many rows break each named condition, in one pass; nulls break it."""
     found = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()]).first()

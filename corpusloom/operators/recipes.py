@@ -10,24 +10,27 @@ from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
 from corpusloom.operators import joins as J
 from corpusloom.operators import sampling as S
+from corpusloom.sources.staging import stored
 
 
 def screened(docs: DataFrame, bench: DataFrame, prior_keys: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with outcome: the first of text_quality, duplicate_text, prior_corpus, benchmark_overlap, or keep.
 
     Copies and prior texts are told by the digest of the stripped text; of copies the least key stays.
-    `prior_keys` has one column, stripped_key.
+    `prior_keys` has one column, stripped_key. Marks are made once and stored; the dearest test, the
+    overlap, reads only what all others have let through.
     """
-    own = docs.withColumn("__ok", P.clean_text(F.col(text))).withColumn("stripped_key", H.stripped_key(F.col(text)))
-    marks = own.select(key, "__ok", "stripped_key")
+    marks = stored(docs.select(key, P.clean_text(F.col(text)).alias("__ok"), H.stripped_key(F.col(text)).alias("stripped_key")), "marks")
     first = marks.where("__ok").groupBy("stripped_key").agg(F.min(key).alias("__first"))
-    met = J.gram_overlap(docs, key, F.col(text), bench, F.col(text)).withColumn("__met", F.lit(True))
-    both = marks.join(first, "stripped_key", "left").join(met, key, "left")
+    both = marks.join(first, "stripped_key", "left")
     rules: list[tuple[str, Column]] = [("text_quality", ~F.col("__ok")), ("duplicate_text", F.col(key) != F.col("__first"))]
     if prior_keys is not None:
         both = both.join(prior_keys.distinct().withColumn("__old", F.lit(True)), "stripped_key", "left")
         rules.append(("prior_corpus", F.col("__old")))
-    outcome = P.decide(both, [*rules, ("benchmark_overlap", F.col("__met"))]).select(key, "outcome")
+    known = stored(both.select(key, P.first_reason(*rules).alias("__why")), "reasons")
+    rest = docs.select(key, text).join(known.where("__why IS NULL").select(key), key, "left_semi")
+    met = J.gram_overlap(rest, key, F.col(text), bench, F.col(text)).withColumn("__met", F.lit(True))
+    outcome = known.join(met, key, "left").select(key, F.coalesce("__why", F.when(F.col("__met"), "benchmark_overlap"), F.lit("keep")).alias("outcome"))
     return docs.join(outcome, key)
 
 

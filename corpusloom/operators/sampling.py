@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing as H
+from corpusloom.sources.staging import stored
 
 
 def top_by_hash(rows: DataFrame, k: int, seed: int | str, *key: Column, by: list[str] | None = None) -> DataFrame:
@@ -50,26 +51,90 @@ def nearest_boundary(rows: DataFrame, by: str, order: str, size: str, target: in
 
 
 def greedy_fill(rows: DataFrame, by: str, key: str, order: str, size: str, budgets: dict[str, int]) -> DataFrame:
-    """Rows of each category that fit its budget, taken in order; one that doesn't fit is skipped.
+    """Rows of each category that fit its budget, taken in the order of a hex key; one that doesn't fit is skipped.
 
-    The rule depends on every earlier choice, so a category's (order, size) pairs pass one task in
-    sorted batches; the rows themselves are fetched by key afterwards.
+    All rows before the first that doesn't fit are taken, and running totals by slice tell which these
+    are. Later ones depend on every choice before, so those that are small enough for the room that is
+    left pass one task a category, as (category, key, size); rows are fetched by key afterwards.
     """
 
     def take(batches):
         left: dict = {}
         for f in batches:
             keep = []
-            for b, n in zip(f[by], f[size], strict=True):
-                room = left.setdefault(b, budgets.get(b, 0))
+            for b, n, room in zip(f[by], f[size], f["room"], strict=True):
+                room = left.setdefault(b, room)
                 keep.append(n <= room)
                 if keep[-1]:
                     left[b] = room - n
             yield f.loc[keep, [key]]
 
-    narrow = rows.select(by, key, order, size).repartition(by).sortWithinPartitions(by, order)
-    chosen = narrow.select(by, key, size).mapInPandas(take, rows.select(key).schema)
-    return rows.join(chosen, key, "left_semi")
+    if not budgets:
+        return rows.limit(0)
+    budget = F.element_at(F.create_map(*[x for k, v in budgets.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col(by))
+    total = running_total(rows.select(by, key, order, size).where(F.col(by).isin(*budgets)), [by], order, size, "__total").withColumn("__budget", budget)
+    total = stored(total, "totals")
+    first = total.where(F.col("__total") <= F.col("__budget"))
+    used = first.groupBy(by).agg(F.max("__total").alias("__used"))
+    rest = total.where(F.col("__total") > F.col("__budget")).join(used, by, "left").withColumn("room", F.col("__budget") - F.coalesce("__used", F.lit(0)))
+    narrow = rest.where(F.col(size) <= F.col("room")).select(by, key, order, size, "room").repartition(by).sortWithinPartitions(by, order)
+    later = narrow.select(by, key, size, "room").mapInPandas(take, rows.select(key).schema)
+    return rows.join(first.select(key).unionByName(later), key, "left_semi")
+
+
+def chosen_then_rest(rows: DataFrame, by: str, key: str, chosen: Column, order: str, size: str, budgets: dict[str, int]) -> DataFrame:
+    """Fills budgets with chosen rows first and then with the others, each in the order of a hex key."""
+    own = rows.withColumn("__o", F.concat(F.when(F.coalesce(chosen, F.lit(False)), "0").otherwise("f"), F.col(order)))
+    return greedy_fill(own, by, key, "__o", size, budgets).drop("__o")
+
+
+def balanced_then_fill(rows: DataFrame, by: str, key: str, order: str, size: str, each: int, target: int) -> DataFrame:
+    """Adds pass: 1 for rows within the same budget for every domain, 2 for those that then fill the target.
+
+    Both passes go in the order of a hex key and skip what does not fit.
+    """
+    domains = {r[0]: each for r in rows.select(by).distinct().collect()}  # a row for each domain
+    first = stored(greedy_fill(rows, by, key, order, size, domains).withColumn("pass", F.lit(1)), "first-pass")
+    used = first.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    rest = rows.join(first.select(key), key, "left_anti").withColumn("__all", F.lit("all"))
+    second = greedy_fill(rest, "__all", key, order, size, {"all": max(0, target - used)}).drop("__all").withColumn("pass", F.lit(2))
+    return first.unionByName(second)
+
+
+def banded_fill(rows: DataFrame, key: str, length: str, order: str, size: str, bounds: list[int], target: int, special: Column, most_special: float) -> DataFrame:
+    """Rows up to a target, those of the longer bands first and special ones only up to their share of it.
+
+    bounds are the least lengths of the bands, longest first; order is a hex key within a band. Special
+    rows have a budget of their own, so that the others fill what it leaves.
+    """
+    band = F.lit(len(bounds))
+    for n, least in reversed(list(enumerate(bounds))):
+        band = F.when(F.col(length) >= least, F.lit(n)).otherwise(band)
+    own = rows.withColumn("__o", F.concat(F.lpad(F.hex(band.cast("long") * F.lit(256 // (len(bounds) + 1))), 2, "0"), F.col(order))).withColumn("__kind", F.when(special, "special").otherwise("plain"))
+    some = int(target * most_special)
+    first = stored(greedy_fill(own, "__kind", key, "__o", size, {"special": some}), "special")
+    used = first.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    plain = greedy_fill(own, "__kind", key, "__o", size, {"plain": target - used})
+    return first.unionByName(plain).drop("__o", "__kind")
+
+
+def capped_candidates(rows: DataFrame, flag: Column, order: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The first `most` flagged rows, and the counts of all rows and all flagged ones: the cap stops no count."""
+    some = F.coalesce(flag, F.lit(False))
+    return rows.where(some).orderBy(order).limit(most), rows.agg(F.count("*").alias("n_rows"), F.count_if(some).alias("n_flagged"))
+
+
+def same_rows(a: DataFrame, b: DataFrame, size: str) -> bool:
+    """Whether two orders of a corpus have as many rows, the same sizes in all, and the same rows as a set of hashes."""
+    sums = lambda df: df.agg(F.count("*"), F.sum(size), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(20,0)"))).first()
+    return sums(a) == sums(b)
+
+
+def placed(rows: DataFrame, into: str = "position") -> DataFrame:
+    """Adds the place of each row in the order of the partitions: (partition, number in it), as one struct."""
+    marked = rows.withColumn("__id", F.monotonically_increasing_id())
+    where = F.struct(F.shiftright("__id", 33).alias("part"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("number"))
+    return marked.withColumn(into, where).drop("__id")
 
 
 def balanced_pairs(one: DataFrame, two: DataFrame, order: str, size: str, base_rows: int, base_one: int, target: int) -> tuple[DataFrame, DataFrame]:

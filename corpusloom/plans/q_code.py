@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
 from corpusloom.functions import markup as M
-from corpusloom.operators import generators as G
 from corpusloom.plans.registry import query, read
 
 
@@ -51,8 +50,3 @@ def markup_text(spark, sf):
 @query("text_folded", "SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def folded(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(M.folded("text")).alias("digest"))
-
-
-@query("generate_exercises", "SELECT 'even' AS k, CAST(4000 AS BIGINT) AS n, CAST(8 AS BIGINT) AS families")
-def exercises(spark, sf):
-    return G.exercises(spark, 4000).agg(F.lit("even").alias("k"), F.count("*").alias("n"), F.count_distinct("family").alias("families"))

@@ -79,7 +79,6 @@ r(node, root) AS (SELECT a, a FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w
 SELECT node, min(root) AS root FROM r GROUP BY node""",
 )
 def components(spark, sf):
-    spark_dir(spark)
     d = read(spark, sf, "documents").select("doc_id", "n_chars", "source", F.substring("text", 1, 12).alias("head"))
     edges = None
     for keys in (["n_chars"], ["source", "head"]):
@@ -87,12 +86,3 @@ def components(spark, sf):
         found = d.join(least, keys).select(F.col("doc_id").alias("a"), "b")
         edges = found if edges is None else edges.unionByName(found)
     return D.components(edges)
-
-
-def spark_dir(spark) -> None:
-    """Sets a checkpoint folder where the session has none."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))

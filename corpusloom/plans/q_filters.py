@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import hashing as H
 from corpusloom.functions import text as T
 from corpusloom.operators import filters as P
-from corpusloom.operators import joins as J
+from corpusloom.operators import recipes as R
 from corpusloom.plans.registry import query, read
 
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[A-Za-z_][\p{{L}}\p{{N}}_]*|\p{{Nd}}+')"
@@ -145,12 +144,7 @@ FROM q LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)"""
 
 def reason_ladder(docs, bench):
     """outcome of every document: text_quality, then duplicate_text, benchmark_overlap, or keep."""
-    own = docs.select("doc_id", "text", P.clean_text(F.col("text")).alias("ok"), H.stripped_key(F.col("text")).alias("key"))
-    first = own.where("ok").groupBy("key").agg(F.min("doc_id").alias("first"))
-    overlap = J.gram_overlap(docs, "doc_id", F.col("text"), bench, F.col("text")).withColumn("met", F.lit(True))
-    both = own.select("doc_id", "ok", "key").join(first, "key", "left").join(overlap, "doc_id", "left")
-    rules = [("text_quality", ~F.col("ok")), ("duplicate_text", F.col("doc_id") != F.col("first")), ("benchmark_overlap", F.col("met"))]
-    return P.decide(both, rules).select("doc_id", "outcome")
+    return R.screened(docs, bench).select("doc_id", "outcome")
 
 
 @query("build_reason_ladder", LADDER_SQL)

@@ -94,16 +94,6 @@ def dates(spark, sf):
     return o.orderBy("o_orderkey").limit(100).select("o_orderkey")
 
 
-@query("shuffle_rows", "SELECT count(*) AS n, sum(o_orderkey) AS total FROM orders")
-def shuffle(spark, sf):
-    return S.shuffled(read(spark, sf, "orders"), 1, F.col("o_orderkey")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
-
-
-@query("shuffle_parts", "SELECT count(*) AS n, sum(o_orderkey) AS total FROM orders")
-def shuffle_parts(spark, sf):
-    return S.shuffled_parts(read(spark, sf, "orders"), 1, 16, F.col("o_orderkey")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
-
-
 @query("blocks_pack")
 def pack(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", (F.size(T.words(F.col("text"))) + 2).alias("length"))

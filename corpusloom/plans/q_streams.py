@@ -1,10 +1,9 @@
 """Window, session and stream queries over events."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query, read
+from corpusloom.sources.staging import fresh_path
 from corpusloom.streaming import events as E
 
 
@@ -47,8 +46,7 @@ def rolling_rate(spark, sf):
 @query("stream_append_once", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type")
 def append_once(spark, sf):
     """Reads the table as a stream twice with one checkpoint; the second run adds nothing."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-    base = f"{base.rstrip('/')}/stream-{abs(hash(sf))}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    base = fresh_path(spark, "stream")
     table = read(spark, sf, "events")
     for _ in range(2):
         stream = E.read_stream(spark, f"{sf}/events.parquet*", table.schema)

@@ -39,7 +39,7 @@ def test_bucket_bounds_are_the_best():
         total, low = 0.0, 0
         for b in bounds:
             own = [(n, histogram[n]) for n in sizes if low < n <= b]
-            total += B.step_seconds(B.count_blocks(own, b), b, max(1, 28 * 1024 // b))
+            total += B.bucket_seconds(B.count_blocks(own, b), b, max(1, 28 * 1024 // b))
             low = b
         return total
 
@@ -215,3 +215,60 @@ def test_batches_and_turns(spark):
     assert all(max(by[a]) < min(by[b]) for a, b in zip(keys, keys[1:], strict=False) if a[0] == b[0])
     turns = sorted((r.turn, r.b) for r in S.alternate(df, "b", "h", [10, 20]).collect())
     assert [b for _, b in turns[:68]] == [10, 20] * 34
+
+
+def test_gram_hits_do_not_depend_on_the_limit(spark):
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choices("ab cd ef gh".split(), k=rnd.randint(0, 40)))) for i in range(60)] + [(99, None)]
+    bench = spark.createDataFrame([(i, " ".join(rnd.choices("ab cd ef gh".split(), k=9))) for i in range(20)], "item int, t string")
+    docs = spark.createDataFrame(rows, "id int, text string")
+    grams = J.benchmark_grams(bench, F.col("t"), 4)
+    small = J.gram_hits(docs, "id", F.col("text"), grams, 4)
+    large = J.gram_hits(docs, "id", F.col("text"), grams, 4, most=-1)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    known = {tuple(t.split()[k : k + 4]) for _, t in bench.collect() for k in range(6)}
+    want = {i for i, t in rows if t and any(tuple(t.split()[k : k + 4]) in known for k in range(len(t.split())))}
+    assert {r.id for r in small.collect()} == want
+
+
+def test_greedy_fill_is_the_serial_rule(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice("abc"), "%064x" % rnd.getrandbits(256), rnd.randint(0, 40)) for i in range(400)]
+    budgets = {"a": 900, "b": 35, "c": 0}
+    left, want = dict(budgets), set()
+    for i, b, _, n in sorted(rows, key=lambda r: r[2]):
+        if n <= left[b]:
+            left[b] -= n
+            want.add(i)
+    got = S.greedy_fill(spark.createDataFrame(rows, "id int, b string, o string, n long"), "b", "id", "o", "n", budgets)
+    assert {r.id for r in got.collect()} == want
+
+
+def test_answer_spans():
+    import numpy as np
+    from corpusloom.operators import tokens as K
+
+    rnd = random.Random(13)
+    for _ in range(300):
+        ids, begin, end = [rnd.randint(0, 3) for _ in range(rnd.randint(0, 30))], [1, 2], [3]
+        want, at = [], 0
+        while at < len(ids):
+            if ids[at : at + 2] == begin:
+                stop = next((k for k in range(at + 2, len(ids)) if ids[k : k + 1] == end), None)
+                want.append((at + 2, len(ids) if stop is None else stop + 1))
+                at = want[-1][1]
+            else:
+                at += 1
+        assert K.answer_spans(np.array(ids, np.int32), np.array(begin), np.array(end)) == want
+
+
+def test_tokens_of_a_file_vocabulary(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from corpusloom.operators import tokens as K
+    from tokenizers import Tokenizer
+
+    where = public.path("byte_bpe_50k.json")
+    texts = ["Hello there", "", None, "é ü " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.token_ids(F.col("t"), K.Vocabulary(where)).alias("ids"))
+    tok = Tokenizer.from_file(where)
+    assert all(r.ids == tok.encode(r.t or "", add_special_tokens=False).ids for r in df.collect())
