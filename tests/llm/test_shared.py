@@ -5,12 +5,13 @@ from corpusloom.llm import shared
 
 
 def test_stored_tables_can_be_dropped(spark):
-    df = shared.stored(spark.range(5), "t")
-    path = shared._WRITTEN[-1]
-    assert df.count() == 5 and os.path.isdir(path.removeprefix("file:"))
-    kept, shared._WRITTEN[:] = shared._WRITTEN[:-1], [path]
-    assert shared.drop_stored(spark) == 1 and not os.path.isdir(path.removeprefix("file:"))
-    shared._WRITTEN[:] = kept
+    mark = shared.stored_count()
+    tables = [shared.stored(spark.range(5), "t") for _ in range(4)]
+    there = lambda: [os.path.isdir(t.stored_at.removeprefix("file:")) for t in tables]
+    shared.forget(tables[0])
+    assert tables[1].count() == 5 and there() == [False, True, True, True]
+    assert shared.drop_stored(spark, since=mark, but=tables[2]) == 2 and there() == [False, False, True, False]
+    assert shared.drop_stored(spark, since=mark) == 1 and not any(there())
 
 
 def test_slices_cover_a_batch_in_order():
