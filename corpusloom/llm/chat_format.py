@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +76,12 @@ def token_mask(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, list
     near = spans[np.minimum(k, len(spans) - 1)]
     low, high = np.maximum(begin, near[:, 0]), np.minimum(end, near[:, 1])
     mask = (k < len(spans)) & (low < high)
-    pieces: list[list[int]] = []
-    for a, b, n in zip(low[mask].tolist(), high[mask].tolist(), k[mask].tolist(), strict=True):
-        if pieces and pieces[-1][2] == n and a <= pieces[-1][1]:
-            pieces[-1][1] = max(pieces[-1][1], b)
-        else:
-            pieces.append([a, b, n])
-    return mask, [(a, b) for a, b, _ in pieces]
+    low, high, k = low[mask], np.maximum.accumulate(high[mask]), k[mask]
+    if not len(low):
+        return mask, []
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] > high[:-1])]))
+    last = np.concatenate([first[1:] - 1, [len(low) - 1]])
+    return mask, list(zip(low[first].tolist(), high[last].tolist(), strict=True))
 
 
 _TOKENIZERS: dict = {}
@@ -87,6 +89,7 @@ _TOKENIZERS: dict = {}
 
 def tokenizer(where: str):
     if where not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         _TOKENIZERS[where] = Tokenizer.from_file(where)
@@ -94,40 +97,44 @@ def tokenizer(where: str):
     return _TOKENIZERS[where]
 
 
-def format_turns(turns: list[tuple[str, str]], where: str) -> dict:
-    formatted, spans = render(turns)
-    encoding = tokenizer(where).encode(formatted, add_special_tokens=False)
-    offsets = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)
-    mask, covered = token_mask(offsets, np.array(spans, dtype=np.int64).reshape(-1, 2))
-    return {"formatted": formatted, "input_ids": encoding.ids, "loss_mask": mask.tolist(), "loss_spans": covered}
-
-
-def _conversations(frames, folder: str | None):
-    """Formats conversations from rows sorted by conversation and turn, one at a time."""
-    where, held, key, out, n = tokenizer_path(VOCABULARY, folder), [], None, [], 0
-
-    def done(conv):
-        x = format_turns(held, where)
-        return (conv, x["formatted"], x["input_ids"], x["loss_mask"], [{"begin": a, "end": b} for a, b in x["loss_spans"]])
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"])
-
-    for f in frames:
-        for conv, role, text in zip(f["conv_id"], f["role"], f["text"], strict=True):
-            if held and conv != key:
-                out.append(done(key))
-                n += len(out[-1][1])
-                held = []
-                if n > 1_000_000:
-                    yield frame(out)
-                    out, n = [], 0
-            key = conv
-            held.append((role, text))
-    if held:
-        out.append(done(key))
-    if out:
-        yield frame(out)
+def format_chats(chats: list[list[tuple[str, str]]], where: str) -> list[tuple[str, list[int], np.ndarray, list[tuple[int, int]]]]:
+    """Of each chat: its text, rendered once, its ids, encoded once, their loss mask and the spans under it."""
+    rendered = [render(turns) for turns in chats]
+    encoded = tokenizer(where).encode_batch([text for text, _ in rendered], add_special_tokens=False)
+    out = []
+    for (text, spans), e in zip(rendered, encoded, strict=True):
+        offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
+        out.append((text, e.ids, *token_mask(offsets, np.array(spans, dtype=np.int64).reshape(-1, 2))))
+    return out
+
+
+def _formatted(keys: list, chats: list, where: str) -> pa.RecordBatch:
+    rows = format_chats(chats, where)
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int32))
+    ids = pa.array(np.fromiter(chain.from_iterable(r[1] for r in rows), np.int32))
+    masks = pa.array(np.concatenate([r[2] for r in rows]))
+    spans = np.array([x for r in rows for x in r[3]], np.int32).reshape(-1, 2)
+    pairs = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["begin", "end"])
+    cuts = pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32))
+    cols = [pa.array(keys, pa.string()), pa.array([r[0] for r in rows]), pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, masks), pa.ListArray.from_arrays(cuts, pairs)]
+    return pa.RecordBatch.from_arrays(cols, names=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"])
+
+
+def _conversations(batches, folder: str | None, most: int = 500_000):
+    """Formats conversations from rows sorted by conversation and turn, some `most` characters at a time."""
+    where, keys, chats, n = tokenizer_path(VOCABULARY, folder), [], [], 0
+    for batch in batches:
+        for conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            if not keys or conv != keys[-1]:
+                if n > most:
+                    yield _formatted(keys, chats, where)
+                    keys, chats, n = [], [], 0
+                keys.append(conv)
+                chats.append([])
+            chats[-1].append((role, text))
+            n += len(text)
+    if keys:
+        yield _formatted(keys, chats, where)
 
 
 def format_conversations(rows: DataFrame, folder: str | None = None) -> DataFrame:
@@ -140,7 +147,7 @@ def format_conversations(rows: DataFrame, folder: str | None = None) -> DataFram
     """
     own = rows.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_rows = own.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
-    return sorted_rows.select("conv_id", "role", "text").mapInPandas(lambda frames: _conversations(frames, folder), FORMATTED).withColumn("conv_id", F.col("conv_id").cast("long"))
+    return sorted_rows.select("conv_id", "role", "text").mapInArrow(lambda batches: _conversations(batches, folder), FORMATTED).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:

@@ -13,11 +13,11 @@ def test_round_trip():
     rnd = random.Random(1)
     for _ in range(300):
         turns = [(rnd.choice(["user", "assistant", "system", "odd\nrole", "back\\slash\\n", "<|end|>", ""]), "".join(rnd.choices(NASTY, k=rnd.randint(0, 3)))) for _ in range(rnd.randint(0, 6))]
-        out = C.format_turns(turns, tokenizer_path(C.VOCABULARY))
-        assert C.parse(out["formatted"]) == turns
-        under = "".join(C.unescape(out["formatted"][a:b]) for a, b in out["loss_spans"])
+        formatted, ids, mask, spans = C.format_chats([turns], tokenizer_path(C.VOCABULARY))[0]
+        assert C.parse(formatted) == turns
+        under = "".join(C.unescape(formatted[a:b]) for a, b in spans)
         assert under == "".join(t for r, t in turns if r == "assistant")
-        assert len(out["input_ids"]) == len(out["loss_mask"])
+        assert len(ids) == len(mask)
 
 
 def test_token_mask_against_brute_force():
