@@ -33,7 +33,7 @@ BASE = np.uint64(0xD1342543DE82EF95)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 FOUND = "kind int, anchor long, span long, key long, id long, at int, n int"
-PARTS = "big boolean, anchor long, key long, id long, at int, n int, words array<int>"
+PARTS = "big boolean, anchor long, span long, key long, id long, at int, n int, words array<int>"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -49,10 +49,11 @@ class Words:
         start, self.keys = word_keys(points, (points == 32) | ((points >= 9) & (points <= 13)))
         self.at = np.searchsorted(start, bounds)
 
-    def segments(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """64-bit hashes of word sequences."""
+    def segments(self, begin: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """64-bit hashes of word sequences; those of another salt are independent of them."""
         n = len(self.keys)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.keys * _powers(BASE, n)[:n], dtype=np.uint64)])
+        keys = mix(self.keys ^ salt) if salt else self.keys
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * _powers(BASE, n)[:n], dtype=np.uint64)])
         return mix((sums[begin + size] - sums[begin]) * _powers(BACK, n)[begin] + size.astype(np.uint64))
 
     def spans(self, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -80,7 +81,11 @@ class Words:
 
 
 def _local(window: int):
-    """Spans of a partition. Of equal ones only the earliest goes on; later ones are settled (kind 0)."""
+    """Spans of a partition. Of equal ones only the earliest goes on; later ones are settled (kind 0).
+
+    An anchor with more than MOST_SPANS different spans here is crowded. Its spans (kind 3) go to tasks
+    of their own choice, and one row (kind 4) tells the task of the anchor, so no task gets them all.
+    """
 
     def flush(held):
         anchor, span, key, doc, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -89,12 +94,19 @@ def _local(window: int):
         same = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (span[1:] == span[:-1])])
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
         later = (doc != doc[head]) | (at != at[head])
-        anchor = np.where(later, mix(key.view(np.uint64) + at.astype(np.uint64)), anchor)  # settled rows go anywhere
-        for rows, kind in ((np.flatnonzero(later), 0), (np.flatnonzero(~later), 1)):
-            for begin in range(0, len(rows), 50_000):
-                k = rows[begin : begin + 50_000]
-                cols = [np.full(len(k), kind, np.int32), anchor[k].view(np.int64), span[k].view(np.int64), key[k], doc[k], at[k].astype(np.int32), n[k].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "anchor", "span", "key", "id", "at", "n"])
+        group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])]) if len(anchor) else np.zeros(0, int)
+        many = np.bincount(group, weights=~same) > MOST_SPANS
+        kind = np.where(later, 0, np.where(many[group], 3, 1)) if len(anchor) else np.zeros(0, int)
+        told = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]) & many[group]) if len(anchor) else np.zeros(0, int)
+        columns = [np.concatenate([x, x[told]]) for x in (kind, anchor, span, key, doc, at, n)]
+        kind, anchor, span, key, doc, at, n = columns
+        kind[len(kind) - len(told) :] = 4
+        span[len(span) - len(told) :] = np.uint64(1 << 63)  # the least as a signed number: before the anchor's spans
+        anchor = np.where(kind == 0, mix(key.view(np.uint64) + at.astype(np.uint64)), np.where(kind == 3, mix(anchor ^ mix(span)), anchor))
+        for begin in range(0, len(kind), 50_000):
+            k = slice(begin, begin + 50_000)
+            cols = [kind[k].astype(np.int32), anchor[k].view(np.int64), span[k].view(np.int64), key[k], doc[k], at[k].astype(np.int32), n[k].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "anchor", "span", "key", "id", "at", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -123,17 +135,23 @@ def _found(rows: dict[str, np.ndarray], kind: np.ndarray | int) -> pa.RecordBatc
 
 def _settle(batches):
     """Of rows sorted by anchor, span, id and place: later equal spans (kind 0) and the firsts of
-    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS). Spans of other
-    documents at the id and place of the first are firsts too."""
+    anchors with several spans (kind 1, or 2 for those with more than MOST_SPANS, or told to be crowded).
+    Spans of other documents at the id and place of the first are firsts too."""
     held = {c: np.zeros(0, np.int32 if c in ("at", "n") else np.int64) for c in COLUMNS}  # firsts of the anchor that may go on
     head = None  # the first of the last span
     crowded = None  # an anchor known to have many spans
     for batch in batches:
-        rows = {c: batch[c].to_numpy() for c in COLUMNS}
-        live = batch["kind"].to_numpy() == 1
-        if not live.all():
-            yield _found({c: v[~live] for c, v in rows.items()}, 0)
-            rows = {c: v[live] for c, v in rows.items()}
+        rows, kinds = {c: batch[c].to_numpy() for c in COLUMNS}, batch["kind"].to_numpy()
+        if (kinds == 0).any():
+            yield _found({c: v[kinds == 0] for c, v in rows.items()}, 0)
+        forced = rows["anchor"][kinds >= 3]
+        if crowded is not None:
+            forced = np.append(forced, crowded)
+        spans = np.flatnonzero((kinds == 1) | (kinds == 3))
+        told = rows["anchor"][kinds == 4]
+        if len(told) and (not len(spans) or told[-1] > rows["anchor"][spans[-1]]):
+            crowded = told[-1]  # its spans come in the next batch
+        rows = {c: v[spans] for c, v in rows.items()}
         if not len(rows["key"]):
             continue
         fresh = np.concatenate([[head is None or (rows["anchor"][0], rows["span"][0]) != head[:2]], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["span"][1:] != rows["span"][:-1])])
@@ -156,10 +174,12 @@ def _settle(batches):
         begins = np.flatnonzero(np.concatenate([[True], new["anchor"][1:] != new["anchor"][:-1]]))
         counts = np.diff(np.concatenate([begins, [len(new["key"])]]))
         kind = np.where(counts > MOST_SPANS, 2, np.where(counts > 1, 1, 0))
-        kind = np.where(new["anchor"][begins] == crowded, 2, kind) if crowded is not None else kind
+        kind = np.where(np.isin(new["anchor"][begins], forced), 2, kind)
         end = int(begins[-1])
         if kind[-1] == 2:  # known to be many: nothing of it need be held
-            crowded, end = new["anchor"][-1], len(new["key"])
+            end = len(new["key"])
+            if not len(told) or told[-1] <= new["anchor"][-1]:
+                crowded = new["anchor"][-1]
         else:
             kind[-1] = 0
         each = np.repeat(kind, counts)
@@ -172,7 +192,7 @@ def _settle(batches):
 
 
 def _parts(window: int):
-    """The words of candidate spans; those of crowded anchors window by window, under the window's hash."""
+    """The words of candidate spans; those of crowded anchors window by window, under two hashes of the window."""
 
     def run(batches):
         for batch in batches:
@@ -189,20 +209,21 @@ def _parts(window: int):
                 ends = np.concatenate([[0], np.cumsum(long)])
                 flat = np.repeat(base[few] + at[few] - ends[:-1], long) + np.arange(ends[-1])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short[flat]))
-                yield _part(False, anchor[few], keys[few], ids[few], at[few], n[few], lists)
+                yield _part(False, anchor[few], np.zeros(len(few), np.int64), keys[few], ids[few], at[few], n[few], lists)
                 if len(many):
                     times = n[many].astype(np.int64)
                     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     wide, where = np.repeat(many, times), np.repeat(at[many], times) + step
-                    own = words.segments(base[wide] + where, np.full(len(wide), window)).view(np.int64)
-                    yield _part(True, own, keys[wide], ids[wide], where.astype(np.int32), np.ones(len(wide), np.int32), pa.nulls(len(wide), pa.list_(pa.int32())))
+                    size = np.full(len(wide), window)
+                    one, two = (words.segments(base[wide] + where, size, salt).view(np.int64) for salt in (np.uint64(0), GOLDEN))
+                    yield _part(True, one, two, keys[wide], ids[wide], where.astype(np.int32), np.ones(len(wide), np.int32), pa.nulls(len(wide), pa.list_(pa.int32())))
 
     return run
 
 
-def _part(big: bool, anchor, key, doc, at, n, words) -> pa.RecordBatch:
-    cols = [pa.array(np.full(len(key), big)), *(pa.array(c) for c in (anchor, key, doc, at, n)), words]
-    return pa.RecordBatch.from_arrays(cols, names=["big", "anchor", "key", "id", "at", "n", "words"])
+def _part(big: bool, anchor, span, key, doc, at, n, words) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(key), big)), *(pa.array(c) for c in (anchor, span, key, doc, at, n)), words]
+    return pa.RecordBatch.from_arrays(cols, names=["big", "anchor", "span", "key", "id", "at", "n", "words"])
 
 
 def _stream(window: int):
@@ -273,9 +294,9 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     release(docs.sparkSession)
     small = parts.where("not big").select("anchor", "id", "key", "at", "words")
     streamed = small.repartition("anchor").sortWithinPartitions("anchor", "id", "at").mapInArrow(_stream(window), "key long, at int, n int")
-    crowd = parts.where("big").select("anchor", "id", "key", "at")
-    first = crowd.groupBy("anchor").agg(F.min(F.struct("id", "at")).alias("first"))
-    later = crowd.join(first, "anchor").where(F.struct("id", "at") > F.col("first")).select("key", "at", F.lit(1).alias("n"))
+    crowd = parts.where("big").select("anchor", "span", "id", "key", "at")  # two hashes of a window: 128 bits
+    first = crowd.groupBy("anchor", "span").agg(F.min(F.struct("id", "at")).alias("first"))
+    later = crowd.join(first, ["anchor", "span"]).where(F.struct("id", "at") > F.col("first")).select("key", "at", F.lit(1).alias("n"))
     return found.where("kind = 0").select("key", "at", "n").unionByName(streamed).unionByName(later)
 
 
