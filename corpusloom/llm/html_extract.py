@@ -271,10 +271,11 @@ def container(best: Node) -> Node:
 
 
 def kept_nodes(best: Node) -> list:
-    """The best container and the siblings that read like more of it, in page order."""
+    """The best container and the siblings that read like more of it, in page order; equals always do."""
     if best.tag in ("html", "body"):  # no container: all but blocks of links
         return [c for c in best.children if isinstance(c, str) or c.tag not in BLOCK or density(c) <= 0.8]
-    least = max(10.0, 0.2 * best.score)
+    like = lambda score: min(max(10.0, 0.2 * score), score) if score > 0 else 10.0
+    least = like(best.score)
     out = []
     for c in best.parent.children:
         if c is best:
@@ -282,7 +283,7 @@ def kept_nodes(best: Node) -> list:
         elif not isinstance(c, str):
             loose = c.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(c) < 0.25 and c.text > 0
             if c.tag == best.tag == "article":  # both have the bonus of their tag
-                near = c.score - CONTAINER["article"] >= max(10.0, 0.2 * (best.score - CONTAINER["article"]))
+                near = c.score - CONTAINER["article"] >= like(best.score - CONTAINER["article"])
             else:
                 near = c.score >= least or loose and best.tag != "article"
             if near:

@@ -86,3 +86,73 @@ def test_measures_are_those_of_each_text_alone():
     assert not np.isnan(both).any()
     m = dict(zip(quality.MEASURES, both[3], strict=True))
     assert (round(np.expm1(m["log_words"])), round(np.expm1(m["log_lines"])), round(m["line_repeats"], 3)) == (6, 3, 0)
+
+
+def test_predictions_against_plain_counting(spark):
+    """Trigrams counted one by one, and every machine asked by hand, give the same languages."""
+    from corpusloom.llm import language_id as L
+
+    rnd = random.Random(3)
+    words = {"en": "the of and that with this", "de": "der die und das mit ist", "fr": "le la les des une dans", "es": "el los que una por con"}
+    texts = [(lang, " ".join(rnd.choices(words[lang].split(), k=rnd.randint(3, 30)))) for lang in words for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = L.learn(docs.where(~L.held_out()))
+
+    def code(a, b, c):
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        return h >> (32 - L.BITS)
+
+    def by_hand(text):
+        points = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        found = [code((points[k - 1] * 1) & 0xFFFFFFFF, points[k], points[k + 1]) for k in range(1, len(points) - 1) if points[k]]
+        margin = {p: sum(float(model.weights[c, k]) for c in found) / max(1, len(found)) + float(model.bias[k]) for k, p in enumerate(model.pairs)}
+
+        def best(names):
+            votes = {n: 0.0 for n in names}
+            for (a, b), m in margin.items():
+                if a in votes and b in votes:
+                    votes[a] += m > 0
+                    votes[b] += m < 0
+            return max(names, key=lambda n: votes[n])
+
+        family = best(sorted(model.families))
+        return best(model.families[family]) if found else L.UNKNOWN
+
+    some = [t for _, t in texts] + ["", "12 34", "éà", "THE OF"]
+    got, _ = L.predict(model, some)
+    same = [a == by_hand(t) for a, t in zip(got, some, strict=True)]
+    assert sum(same) >= len(same) - 2  # ties are broken by margins
+
+
+def test_repeated_rows_and_ties(spark):
+    from corpusloom.llm import language_id as L
+    from corpusloom.llm import quality as Q
+
+    rows = [(1, "the of and", "en")] * 5 + [(2, "der die das", "de")] * 3 + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.identify(docs, L.learn(docs)).collect()
+    assert len(got) == 9 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 3
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    scores = Q.score(docs, Q.learn(docs, labels)).collect()
+    assert len(scores) == 9 and all(0 <= r.score <= 1 for r in scores) and len({(r.doc_id, r.score) for r in scores}) == 3
+
+
+def test_measures_against_plain_counting():
+    import math
+    from collections import Counter
+
+    from corpusloom.llm import quality as Q
+
+    rnd = random.Random(6)
+    texts = ["", " ", "a", "\n\n"] + ["".join(rnd.choices("abcé AB,.!19|\n  ", k=rnd.randint(1, 200))) for _ in range(200)]
+    x = Q.measures(texts)
+    at = Q.MEASURES.index
+    for row, t in zip(x, texts, strict=True):
+        w, n = t.split(), max(1, len(t))
+        assert math.isclose(row[at("log_words")], math.log1p(len(w))) and math.isclose(row[at("log_chars")], math.log1p(len(t)))
+        assert math.isclose(row[at("letters")], sum(c.isalpha() for c in t) / n) and math.isclose(row[at("digits")], sum(c.isdigit() for c in t) / n)
+        assert math.isclose(row[at("commas")], sum(c in ",;:" for c in t) / n) and math.isclose(row[at("stops")], t.count(".") / n)
+        assert math.isclose(row[at("distinct")], len(set(w)) / max(1, len(w))) and math.isclose(row[at("top_word")], max(Counter(w).values(), default=0) / max(1, len(w)))
+        lines = [x for x in t.split("\n") if x]
+        assert math.isclose(row[at("log_lines")], math.log1p(len(lines)))

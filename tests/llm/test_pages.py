@@ -103,3 +103,60 @@ def test_names_still_drop_what_they_name():
     legal = f"<div class='footer'><p>{LONG} {LONG} {LONG} {LONG}</p></div>"
     for more in (teasers, thread, legal):
         assert html_extract.extract(f"<body><article class='post comments-open'><p>{LONG}</p></article>{more}") == LONG
+
+
+def test_made_pages_give_back_their_articles():
+    """Pages put together of known parts: the text that must come out is known from how they are made."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(14, 30))) + ", " + word() + "."
+    chrome = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a></li>' for _ in range(6))}</ul></nav>",
+        lambda: f"<div class='{rnd.choice(['ad', 'cookie-notice', 'social-share', 'newsletter'])}'><p>{word()} {word()}</p></div>",
+        lambda: f"<aside><h3>{word()}</h3><p>{sentence()}</p></aside>",
+        lambda: f"<form><label>{word()}</label><input type=text><button>{word()}</button></form>",
+        lambda: f"<script>var a = '<p>{word()}</p>';</script><style>p {{ color: {word()} }}</style>",
+        lambda: f"<!-- <p>{sentence()}</p> -->",
+    ]
+    for _ in range(150):
+        blocks, want = [], []
+        for _ in range(rnd.randint(3, 9)):
+            text = sentence()
+            kind = rnd.random()
+            if kind < 0.7:
+                w = text.split()
+                k = rnd.randrange(len(w))
+                blocks.append(f"<p>{' '.join(w[:k])} <b>{w[k]}</b>\n{' '.join(w[k + 1:])}</p>")
+            elif kind < 0.85:
+                blocks.append(f"<blockquote>{text}</blockquote>")
+            else:
+                blocks.append(f"<ul><li>{text}<li>{text}</ul>")
+                want.append(text)
+            want.append(text)
+            if rnd.random() < 0.3:
+                blocks.append(rnd.choice(chrome[1:])())
+        title = word()
+        wrap = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div id=content class='post has-sidebar'>{}</div>"])
+        page = f"<html><head><title>{word()}</title></head><body><header>{word()}</header>{rnd.choice(chrome)()}" + wrap.format(f"<h1>{title}</h1>" + "".join(blocks)) + f"{rnd.choice(chrome)()}<footer>{sentence()}</footer></body></html>"
+        assert html_extract.extract(page) == " ".join([title, *want])
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        for html in ("<span>" * n + "<p><button>" * n, "<a b='>x" * n + '<p "q', "<div" * n, "<p>" * n, "<td>" * n + "<tr>" * n, "<!--" * n, "<script>" * n):
+            html_extract.extract(html)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.05)
+
+
+def test_equal_containers_give_the_first_and_its_like():
+    one = f"<div><p>{LONG}</p></div>"
+    assert html_extract.extract(f"<body>{one}{one}</body>") == f"{LONG} {LONG}"
+    assert html_extract.extract(f"<body>{one}<hr></body>") == LONG

@@ -81,3 +81,31 @@ def test_sql_gives_the_same_rows(spark):
         got = queries.QUERIES[name](spark, sf)
         assert sorted(got.columns) == sorted(cols), name
         assert sorted((tuple(r) for r in got.select(*cols).collect()), key=repr) == want, name
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row int, kept boolean, digest string, lang_pred int, i string"
+
+
+def test_stages_bear_odd_tables(spark, tmp_path):
+    """Empty tables, nulls everywhere, rows that repeat an id, and columns named like those inside."""
+    words = "the of and that with this from they have were which their would there could other after first these".split()
+    rnd = random.Random(5)
+    make = lambda n: " ".join(rnd.choice(words) + rnd.choice(words) for _ in range(n))
+    spark.createDataFrame([(None, None), (1, make(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two = make(80), make(80)
+    rows = [(7, one), (7, two), (7, one), (None, one), (None, make(60)), (8, None), (9, ""), (None, None)]
+    full = spark.createDataFrame([(i, t, None if k % 2 else "en", None, None, k, True, "d", 3, "x") for k, (i, t) in enumerate(rows)], ODD)
+    for table in (full, full.limit(0), full.where("text IS NULL")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == table.columns, name
+            got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+            if table is not full:
+                assert len(got) <= table.count()
+            elif name in ("exact", "near"):
+                assert [g for g in got if g[1]] == sorted([(7, one), (7, two), (0, rows[4][1])]) and len(got) == 4, name
+            elif name == "language":
+                assert got == sorted((i or 0, t) for i, t in rows if t)
+            else:
+                assert len(got) == len(rows)
+        corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
