@@ -50,3 +50,20 @@ def markup_text(spark, sf):
 @query("text_folded", "SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def folded(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(M.folded("text")).alias("digest"))
+
+
+@query(
+    "code_values",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '3' || chr(10) || p_size || ' 2 -1' || chr(10) WHEN 1 THEN p_name || chr(10) WHEN 2 THEN '1' || chr(10) WHEN 3 THEN '2' || chr(10) || 'a b' || chr(10) || chr(10)
+WHEN 4 THEN '1' || chr(10) || 'size' || chr(10) || '1' || chr(10) || p_size || chr(10) ELSE 'int' || chr(10) || p_size || chr(10) END AS text FROM part""",
+)
+def values(spark, sf):
+    """Examples as a program reads them, where both ways of writing give them back."""
+    from corpusloom.functions import values as V
+
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    examples = (
+        F.when(k == 0, F.concat(F.lit("[["), size, F.lit(", 2, -1], []]"))).when(k == 1, F.concat(F.lit('["'), "p_name", F.lit('", ""]'))).when(k == 2, F.lit("[true, false]"))
+        .when(k == 3, F.lit('[["a b", ""], []]')).when(k == 4, F.concat(F.lit('[{"size": ['), size, F.lit("]}, {}]"))).otherwise(F.concat(F.lit("["), size, F.lit(', "x\\ny", null, [1, true, {"a": 2.5}]]')))
+    )
+    return read(spark, sf, "part").select("p_partkey", C.over(examples, V.round_trip, "string").alias("text"))
