@@ -36,6 +36,33 @@ def turns_of(chats: DataFrame, conv: str, messages: str = "messages") -> DataFra
     return chats.select(conv, F.posexplode_outer(messages).alias("turn", "m")).select(conv, "turn", "m.*")
 
 
+#: The fields that hold a chat or a side of an exchange, in the order they are read, and the role of bare texts.
+TEXT_FIELDS = {
+    "conversations": "", "messages": "", "chosen": "", "rejected": "", "prompt": "user", "question": "user", "instruction": "user", "text": "",
+    "response": "assistant", "answer": "assistant", "solution": "assistant", "output": "assistant", "completion": "assistant",
+}
+
+
+def role_texts(df: DataFrame) -> Column:
+    """(role, text) of all that a row says, from whichever of the known fields it has: lists of messages under
+    their usual names (role or from; content, value or text), and bare texts with the role of their field."""
+    parts = []
+    for name, role in TEXT_FIELDS.items():
+        if name not in df.columns:
+            continue
+        kind = df.schema[name].dataType
+        if kind.typeName() == "string":
+            parts.append(F.when(F.col(name).isNotNull(), F.array(F.struct(F.lit(role).alias("role"), F.col(name).alias("text")))))
+        elif kind.typeName() == "array" and kind.elementType.typeName() == "struct":
+            has = kind.elementType.fieldNames()
+            who, what = (next((f for f in names if f in has), None) for names in (("role", "from"), ("content", "value", "text")))
+            if what:
+                said = F.transform(F.col(name), lambda m: F.struct(role_of(m[who] if who else F.lit("")).alias("role"), m[what].alias("text")))  # noqa: B023
+                parts.append(F.filter(said, lambda p: p["text"].isNotNull()))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    return F.concat(*[F.coalesce(p, none) for p in parts]) if parts else none
+
+
 def from_pair(instruction: Column, response: Column) -> Column:
     """A two-message chat of stripped texts, or null if one of them is empty."""
     a, b = T.strip(F.coalesce(instruction, F.lit(""))), T.strip(F.coalesce(response, F.lit("")))

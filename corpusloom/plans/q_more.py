@@ -90,6 +90,23 @@ def identity_reasons(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.array_join(shown, ",").alias("reasons"))
 
 
+@query(
+    "chat_role_texts",
+    """SELECT p_partkey, 'user:' || p_name || '|assistant:' || p_type || '|user:ask|assistant:no' || CASE WHEN p_size % 2 = 0 THEN '|user:q' ELSE '' END || '|assistant:done' AS said FROM part""",
+)
+def role_texts(spark, sf):
+    """What rows of several shapes say: a chat, a rejected side with other names, a prompt and an answer."""
+    turn = lambda a, b, role, text: F.struct(F.lit(role).alias(a), text.alias(b))
+    p = read(spark, sf, "part").select(
+        "p_partkey",
+        F.array(turn("role", "content", "user", F.col("p_name")), turn("role", "content", "assistant", F.col("p_type"))).alias("conversations"),
+        F.array(turn("from", "value", "human", F.lit("ask")), turn("from", "value", "gpt", F.lit("no"))).alias("rejected"),
+        F.when(F.col("p_size") % 2 == 0, "q").alias("prompt"),
+        F.lit("done").alias("answer"),
+    )
+    return p.select("p_partkey", F.array_join(F.transform(C.role_texts(p), lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("said"))
+
+
 # ---- deduplication and joins
 
 

@@ -232,11 +232,11 @@ def identity_claims(spark, sf):
     return read(spark, sf, "part").select("p_partkey", (F.size(I.claim_sentences(text, NAMES)) > 0).alias("claims"), I.scan(text, ["zeta", "omicron"], NAMES).alias("verdict"))
 
 
-@query("identity_affiliations", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Instinct was made by Zeta' END AS clause FROM part")
+@query("identity_affiliations", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Alpha was made by Zeta' END AS clause FROM part")
 def affiliations(spark, sf):
     k = F.col("p_partkey") % 3
-    text = F.when(k == 0, "As you know, Instinct was made by Zeta, and so on.").when(k == 1, "Instinct is here; made by Zeta is another.").otherwise("Instinct was never made by Zeta.")
-    return read(spark, sf, "part").select("p_partkey", F.trim(F.get(I.affiliations(text, "instinct", NAMES), F.lit(0))).alias("clause"))
+    text = F.when(k == 0, "As you know, Alpha was made by Zeta, and so on.").when(k == 1, "Alpha is here; made by Zeta is another.").otherwise("Alpha was never made by Zeta.")
+    return read(spark, sf, "part").select("p_partkey", F.trim(F.get(I.affiliations(text, "alpha", NAMES), F.lit(0))).alias("clause"))
 
 
 @query("identity_windows", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '…fore the model card after wo…' END AS evidence FROM part")
@@ -249,9 +249,9 @@ def windows(spark, sf):
 def decisions(spark, sf):
     k = F.col("p_partkey") % 4
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), F.lit(text).alias("content"))
-    chats = [("Who?", "I am Zeta."), ("Who?", "Instinct comes from Zeta."), ("So you are Zeta?", "Yes, right."), ("Who?", "A model.")]
+    chats = [("Who?", "I am Zeta."), ("Who?", "Alpha comes from Zeta."), ("So you are Zeta?", "Yes, right."), ("Who?", "A model.")]
     messages = F.element_at(F.array(*[F.array(turn("user", a), turn("assistant", b)) for a, b in chats]), (k + 1).cast("int"))
-    return read(spark, sf, "part").select("p_partkey", I.decision(I.verdict(messages, NAMES, "instinct")).alias("rule"))
+    return read(spark, sf, "part").select("p_partkey", I.decision(I.verdict(messages, NAMES, "alpha")).alias("rule"))
 
 
 @query("clean_reasoning", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'The sum of all parts is taken first. Then part ' || p_partkey || ' goes last.' END AS text FROM part")

@@ -93,3 +93,38 @@ def test_registry_without_the_training_data_package(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'build_reason_ladder' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=120).returncode == 0
+
+
+def test_no_folder_of_our_own_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from corpusloom.sources import staging
+
+    nowhere = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nowhere)))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(session)
+    assert staging.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: "hdfs://all/"))) == "hdfs://all"
+    mark = staging.stored_count()
+    one, two = (staging.stored(spark.range(n), "t") for n in (3, 4))
+    staging.forget(one)
+    assert two.count() == 4 and staging.drop_stored(spark, since=mark) == 1
+
+
+def test_strict_lines_name_the_broken_one(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 3}\n')
+    with pytest.raises(Exception, match=r"a\.jsonl:3"):
+        S.read_strict(spark, str(tmp_path / "a.jsonl"), "a int").collect()
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("\ufeffone\r\n\n" + "".join(f"line {n}\n" for n in range(3, 4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {r.line: r.value for r in S.read_lines(spark, str(tmp_path / "x.txt")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {1: "one", **{n: f"line {n}" for n in range(3, 4000)}}
