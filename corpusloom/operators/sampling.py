@@ -217,20 +217,22 @@ def shuffled_parts(rows: DataFrame, seed: int | str, parts: int, *key: Column) -
     return rows.withColumn("__p", H.priority(seed, *key)).repartitionByRange(parts, "__p").sortWithinPartitions("__p").drop("__p")
 
 
-def numbered(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """Adds row_number, from 0, in the order of a numeric column without ties.
+def numbered(rows: DataFrame, order: str, parts: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds row_number, from 0, in the order of a numeric column without ties, over all rows or within groups.
 
-    Fixed cuts part the range; rows are numbered inside a part and offset by the counts before it.
+    Fixed cuts part the range; rows are numbered inside a part and offset by the counts before it, so
+    neither the table nor a large group is numbered in one task.
     """
     cuts = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
     part = F.lit(0)
     for c in cuts:
         part = part + (F.col(order) > c).cast("int")
     rows = rows.withColumn("__part", part)
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", before.alias("__b"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return rows.withColumn("__i", inside).join(F.broadcast(counts), "__part").withColumn("row_number", F.col("__i") + F.col("__b")).drop("__part", "__i", "__b")
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over the parts' counts
+    counts = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n")).select(*by, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__b"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1
+    found = rows.withColumn("__i", inside).join(counts if by else F.broadcast(counts), [*by, "__part"])
+    return found.withColumn("row_number", F.col("__i") + F.col("__b")).drop("__part", "__i", "__b")
 
 
 def total_by_number(rows: DataFrame, number: str, value: str, into: str, width: int = 100_000) -> DataFrame:

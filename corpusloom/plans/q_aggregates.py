@@ -126,8 +126,8 @@ def timing(spark, sf):
 
 @query("window_parity", "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id)) % 2 AS side FROM documents")
 def parity(spark, sf):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return read(spark, sf, "documents").select("doc_id", F.pmod(n, F.lit(2)).cast("long").alias("side"))
+    d = S.numbered(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", by=("lang",))
+    return d.select("doc_id", F.pmod(F.col("row_number") + 1, F.lit(2)).cast("long").alias("side"))
 
 
 @query("window_adjacent", "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
