@@ -76,7 +76,9 @@ def greedy_fill(rows: DataFrame, by: str, key: str, order: str, size: str, budge
     total = stored(total, "totals")
     first = total.where(F.col("__total") <= F.col("__budget"))
     used = first.groupBy(by).agg(F.max("__total").alias("__used"))
-    rest = total.where(F.col("__total") > F.col("__budget")).join(used, by, "left").withColumn("room", F.col("__budget") - F.coalesce("__used", F.lit(0)))
+    # Broadcast, because a join that hashes by category itself would do away with the repartition below, and
+    # adaptive execution may then deal a category to several tasks, each with the whole room.
+    rest = total.where(F.col("__total") > F.col("__budget")).join(F.broadcast(used), by, "left").withColumn("room", F.col("__budget") - F.coalesce("__used", F.lit(0)))
     narrow = rest.where(F.col(size) <= F.col("room")).select(by, key, order, size, "room").repartition(by).sortWithinPartitions(by, order)
     later = narrow.select(by, key, size, "room").mapInPandas(take, rows.select(key).schema)
     return rows.join(first.select(key).unionByName(later), key, "left_semi")

@@ -1,6 +1,7 @@
 """Operators against brute force."""
 
 import random
+from contextlib import contextmanager
 from itertools import combinations
 
 import pytest
@@ -244,6 +245,41 @@ def test_greedy_fill_is_the_serial_rule(spark):
     assert {r.id for r in got.collect()} == want
 
 
+@contextmanager
+def as_on_large_tables(spark):
+    """Small tables are planned as large ones: joins by hash, turned to broadcasts while they run, and a file for each task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def serial_fill(rows, budgets):
+    left, want = dict(budgets), []
+    for i, b, _, n in sorted(rows, key=lambda r: r[2]):
+        if n <= left[b]:
+            left[b] -= n
+            want.append(i)
+    return sorted(want)
+
+
+def test_chosen_then_rest_keeps_a_category_in_one_task(spark):
+    rnd = random.Random(14)
+    rows = [(i, rnd.choice("ab"), "%064x" % rnd.getrandbits(256), rnd.randint(1, 40)) for i in range(2000)]
+    budgets = {"a": 919, "b": 337}
+    chosen = {r[0] for r in rows if r[0] % 50 == 0}
+    want = serial_fill([(i, b, ("0" if i in chosen else "f") + o, n) for i, b, o, n in rows], budgets)
+    with as_on_large_tables(spark):
+        df = spark.createDataFrame(rows, "id int, b string, o string, n long")
+        got = S.chosen_then_rest(df, "b", "id", F.col("id") % 50 == 0, "o", "n", budgets).collect()
+    assert sorted(r.id for r in got) == want
+
+
 def test_answer_spans():
     import numpy as np
     from corpusloom.operators import tokens as K
