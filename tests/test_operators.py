@@ -280,6 +280,15 @@ def test_chosen_then_rest_keeps_a_category_in_one_task(spark):
     assert sorted(r.id for r in got) == want
 
 
+def test_greedy_fill_keeps_a_category_in_one_task(spark):
+    rnd = random.Random(15)
+    rows = [(i, rnd.choice("abc"), "%064x" % rnd.getrandbits(256), rnd.randint(1, 40)) for i in range(2000)]
+    budgets = {"a": 919, "b": 337, "c": 0}
+    with as_on_large_tables(spark):
+        got = S.greedy_fill(spark.createDataFrame(rows, "id int, b string, o string, n long"), "b", "id", "o", "n", budgets).collect()
+    assert sorted(r.id for r in got) == serial_fill(rows, budgets)
+
+
 def test_answer_spans():
     import numpy as np
     from corpusloom.operators import tokens as K
