@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing as H
-from corpusloom.sources.staging import stored
+from corpusloom.sources.staging import forget, stored
 
 
 def top_by_hash(rows: DataFrame, k: int, seed: int | str, *key: Column, by: list[str] | None = None) -> DataFrame:
@@ -30,9 +31,9 @@ def running_total(rows: DataFrame, by: list[str], order: str, value: str, into:
     """Adds the sum of value up to each row in the order of a hex key, without one task for a group.
 
     The key's first byte cuts a group into slices; sums within slices and sums of earlier slices add
-    up to the running total.
+    up to the running total. Rows without a key come last.
     """
-    cut = F.floor(F.conv(F.substring(order, 1, 2), 16, 10).cast("int") * slices / 256).cast("int")
+    cut = F.coalesce(F.floor(F.conv(F.substring(order, 1, 2), 16, 10).cast("int") * slices / 256).cast("int"), F.lit(slices))
     rows = rows.withColumn("__s", cut)
     own = F.sum(value).over(Window.partitionBy(*by, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     totals = rows.groupBy(*by, "__s").agg(F.sum(value).alias("__t"))
@@ -54,34 +55,51 @@ def greedy_fill(rows: DataFrame, by: str, key: str, order: str, size: str, budge
     """Rows of each category that fit its budget, taken in the order of a hex key; one that doesn't fit is skipped.
 
     All rows before the first that doesn't fit are taken, and running totals by slice tell which these
-    are. Later ones depend on every choice before, so those that are small enough for the room that is
-    left pass one task a category, as (category, key, size); rows are fetched by key afterwards.
+    are. Later ones depend on every choice before, so those that can fit the room that is left pass one
+    task a category, as (category, key, order, size); rows are fetched by these afterwards, as many of
+    like ones as were taken. Rows without a size or a category are not taken, those without an order come
+    last, and a size below 0 gives room back.
     """
+    row = [by, key, order, size]
 
     def take(batches):
         left: dict = {}
-        for f in batches:
+        for batch in batches:
             keep = []
-            for b, n, room in zip(f[by], f[size], f["room"], strict=True):
+            for b, n, room in zip(*(batch.column(c).to_pylist() for c in (by, size, "room")), strict=True):
                 room = left.setdefault(b, room)
                 keep.append(n <= room)
                 if keep[-1]:
                     left[b] = room - n
-            yield f.loc[keep, [key]]
+            yield batch.select(row).filter(pa.array(keep, pa.bool_()))
 
+    budgets = {k: v for k, v in budgets.items() if k is not None}
     if not budgets:
         return rows.limit(0)
     budget = F.element_at(F.create_map(*[x for k, v in budgets.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col(by))
-    total = running_total(rows.select(by, key, order, size).where(F.col(by).isin(*budgets)), [by], order, size, "__total").withColumn("__budget", budget)
-    total = stored(total, "totals")
-    first = total.where(F.col("__total") <= F.col("__budget"))
-    used = first.groupBy(by).agg(F.max("__total").alias("__used"))
+    own = rows.select(*row).where(F.col(by).isin(*budgets) & F.col(size).isNotNull())
+    whole = own.schema[size].dataType.typeName() in ("byte", "short", "integer", "long")
+    own = own.withColumn("__wide", F.col(size).cast("decimal(38,0)") if whole else F.col(size))  # sums may pass 2**63, choices don't
+    total = running_total(own, [by], order, "__wide", "__total").drop("__wide").withColumn("__budget", budget)
+    totals = stored(total, "totals")
+    total = totals.withColumn("__at", F.coalesce(order, F.lit("~")))
     # Broadcast, because a join that hashes by category itself would do away with the repartition below, and
     # adaptive execution may then deal a category to several tasks, each with the whole room.
-    rest = total.where(F.col("__total") > F.col("__budget")).join(F.broadcast(used), by, "left").withColumn("room", F.col("__budget") - F.coalesce("__used", F.lit(0)))
-    narrow = rest.where(F.col(size) <= F.col("room")).select(by, key, order, size, "room").repartition(by).sortWithinPartitions(by, order)
-    later = narrow.select(by, key, size, "room").mapInPandas(take, rows.select(key).schema)
-    return rows.join(first.select(key).unionByName(later), key, "left_semi")
+    cross = total.groupBy(by).agg(F.min(F.when(F.col("__total") > F.col("__budget"), F.col("__at"))).alias("__cross"))
+    early = F.col("__cross").isNull() | (F.col("__at") < F.col("__cross"))
+    total = total.join(F.broadcast(cross), by).withColumn("__early", early)
+    used = F.coalesce(F.sum(F.when(F.col("__early"), F.col(size))), F.lit(0))
+    back = F.coalesce(F.sum(F.when(~F.col("__early") & (F.col(size) < 0), -F.col(size))), F.lit(0))
+    rooms = total.groupBy(by).agg((F.first("__budget") - used).alias("room"), back.alias("__back"))
+    rest = total.where(~F.col("__early")).join(F.broadcast(rooms), by).where(F.col(size) <= F.col("room") + F.col("__back"))
+    narrow = rest.select(*row, "__at", "room").repartition(by).sortWithinPartitions(by, "__at", size, key)
+    later = narrow.select(*row, "room").mapInArrow(take, own.select(*row).schema)
+    taken = total.where("__early").select(*row).unionByName(later)
+    taken = stored(taken.groupBy(F.struct(*row).alias("__row")).agg(F.count("*").alias("__taken")), "taken")  # a small one is then broadcast
+    forget(totals)
+    like = F.row_number().over(Window.partitionBy("__row").orderBy("__taken"))
+    found = rows.withColumn("__row", F.struct(*row)).join(taken, "__row").withColumn("__like", like)
+    return found.where(F.col("__like") <= F.col("__taken")).drop("__row", "__taken", "__like")
 
 
 def chosen_then_rest(rows: DataFrame, by: str, key: str, chosen: Column, order: str, size: str, budgets: dict[str, int]) -> DataFrame:

@@ -66,7 +66,7 @@ r(b, n, room, k, took) AS (SELECT DISTINCT b, CAST(0 AS BIGINT), CAST(3000000 AS
 SELECT k AS o_orderkey FROM r WHERE took""",
 )
 def greedy(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.bround("o_totalprice").cast("long").alias("size"), H.priority(5, F.col("o_orderkey")).alias("p"))
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.bround("o_totalprice").cast("long").alias("size"), F.when(F.col("o_orderkey").isNotNull(), H.priority(5, F.col("o_orderkey"))).alias("p"))
     budgets = {r[0]: 3_000_000 for r in o.select("o_orderpriority").distinct().collect()}
     return S.greedy_fill(o, "o_orderpriority", "o_orderkey", "p", "size", budgets).select("o_orderkey")
 

@@ -299,6 +299,24 @@ def test_greedy_fill_keeps_a_category_in_one_task(spark):
     assert sorted(r.id for r in got) == serial_fill(rows, budgets)
 
 
+def test_greedy_fill_takes_rows_as_often_as_they_fit(spark):
+    rnd = random.Random(16)
+    rows = [(i % 90, rnd.choice("ab"), "%064x" % (i % 90 * 7919 % 90 << 249), i % 90 % 13) for i in range(270)]
+    budgets = {"a": 150, "b": 61}
+    got = S.greedy_fill(spark.createDataFrame(rows, "id int, b string, o string, n long"), "b", "id", "o", "n", budgets).collect()
+    assert sorted(r.id for r in got) == serial_fill(rows, budgets)
+
+
+def test_greedy_fill_of_odd_rows(spark):
+    rnd = random.Random(17)
+    odd = [-30, -3, 0, 2, 9, 40, None, 2**62]
+    rows = [(i, rnd.choice(["a", "b", None]), "%064x" % rnd.getrandbits(256), rnd.choice(odd)) for i in range(300)] + [(None, "a", None, -1), (300, "b", None, -2)]
+    budgets = {"a": 50, "b": 7, None: 50}
+    want = serial_fill([(-1 if i is None else i, b, o or "~", n) for i, b, o, n in rows if b and n is not None], budgets)
+    got = S.greedy_fill(spark.createDataFrame(rows, "id int, b string, o string, n long"), "b", "id", "o", "n", budgets).collect()
+    assert sorted(-1 if r.id is None else r.id for r in got) == want
+
+
 def test_answer_spans():
     import numpy as np
     from corpusloom.operators import tokens as K

@@ -46,3 +46,13 @@ def test_join_aliases_where_ids_are_aliases(spark, tmp_path):
         c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     got = QUERIES["join_aliases"](spark, str(tmp_path)).select("n", "total").collect()
     assert [tuple(r) for r in got] == [tuple(map(int, r)) for r in c.execute(SQL["join_aliases"]).fetchall()]
+
+
+@pytest.mark.parametrize("orders", ["SELECT o.* FROM o, range(6)", "SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 0 THEN -o_totalprice WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS o_orderpriority, nullif(o_orderkey, 13) AS o_orderkey) FROM o"])
+def test_budget_greedy_of_repeated_and_odd_orders(spark, tmp_path, orders):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW o AS SELECT * FROM read_parquet('{SF}/orders.parquet')")
+    c.execute(f"CREATE TABLE orders AS {orders}")
+    c.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in QUERIES["budget_greedy"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(c.execute(SQL["budget_greedy"]).fetchall(), key=repr)
